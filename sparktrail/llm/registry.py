@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, sharding
+from . import decontamination, lm_scoring, minhash, packing, sharding, toxicity, warc
 
-MODULES = (packing, decontamination, sharding)
+MODULES = (packing, lm_scoring, toxicity, warc, decontamination, minhash, sharding)
 
 
 def queries():
