@@ -1,10 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two interpolated bigram models, one of toxic and one of ordinary labelled
-documents, back off to their class's continuation counts and from there to
-a distribution that both share (pooled continuation counts mixed with the
-uniform one), so that an expression which is rare in both classes says
-little.  A text is scored by its length-normalised log-likelihood ratio, of
+documents, back off to their class's continuation counts, from there to the
+word's stem (its first bytes, counted by documents, so that inflected and
+unseen words are met) and at last to a distribution that both share (pooled
+counts mixed with the uniform one), so that an expression which is rare in
+both classes says little.  A text is scored by its length-normalised log-likelihood ratio, of
 the whole text and of its most toxic window, and a logistic curve fitted on
 cross-fitted ratios turns that into a probability.
 
@@ -27,10 +28,12 @@ from .common import LOWER, id_crc, table, text_bytes, tune
 
 MAX_TOXIC, MAX_ORDINARY = 4000, 8000
 THRESHOLD = 0.7
-DISCOUNT = 0.75
+#: Absolute discount of bigram, continuation and document counts: what was seen this seldom in a class is no evidence.
+DISCOUNT = 3.0
 SHARED = 0.05  # weight of the pooled counts in the shared distribution; the rest is uniform
-MIN_COUNT = 3  # rarer words are one unknown word
-WINDOW = 16
+MIN_COUNT = 5  # rarer words are known by their stem alone
+STEM = 4  # bytes
+WINDOW = 2
 
 #: Letters, digits and bytes above 127 make words here; punctuation parts them.
 _PARTS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -41,39 +44,53 @@ def _words(text: bytes) -> list[bytes]:
 
 
 class KneserNey:
-    """One class: arrays over word ids. ids: 0 unknown, 1..V words, V+1 the start."""
-
-    def __init__(self, seqs: list[np.ndarray], size: int):
-        start = size - 1
-        prev = [np.concatenate(([start], s[:-1])) for s in seqs if len(s)]
-        cur = [s for s in seqs if len(s)]
-        keys = np.concatenate(prev) * size + np.concatenate(cur) if cur else np.zeros(0, np.int64)
-        self.keys, self.counts = np.unique(keys, return_counts=True)
+    """One class: counts over word ids (0 unknown, 1..V words, V+1 the start) and over stem ids."""
+
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]], size: int, stems: int):
+        texts = [t for t in texts if len(t[0])]
+        # A bigram counts once for each document that has it: a text that repeats itself is no more evidence.
+        keys = [np.unique(np.concatenate(([size - 1], words[:-1])) * size + words) for words, _ in texts]
+        self.keys, self.counts = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
         before, after = self.keys // size, self.keys % size
         self.total = np.bincount(before, self.counts, size)
-        self.types = np.bincount(before, minlength=size)
-        self.continuations = np.bincount(after, minlength=size)
-
-    def unigram(self, shared: np.ndarray) -> np.ndarray:
-        n = max(1, int(self.continuations.sum()))
-        left = 1 - np.maximum(self.continuations - DISCOUNT, 0).sum() / n
-        return np.maximum(self.continuations - DISCOUNT, 0) / n + left * shared
+        self.held_back = np.bincount(before, np.minimum(self.counts, DISCOUNT), size)
+        self.continuations = np.bincount(after, minlength=size).astype(float)
+        self.documents = np.bincount(np.concatenate([np.unique(s) for _, s in texts]) if texts else np.zeros(0, np.int64), minlength=stems).astype(float)
 
     def backoff(self) -> np.ndarray:
-        return np.where(self.total > 0, DISCOUNT * self.types / np.maximum(self.total, 1), 1.0)
+        return np.where(self.total > 0, self.held_back / np.maximum(self.total, 1), 1.0)
+
+
+def _discounted(counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """Shares after the discount, and what is left for the backoff."""
+    kept = np.maximum(counts - DISCOUNT, 0) / max(1.0, counts.sum())
+    return kept, 1 - kept.sum()
 
 
 class Ratio:
-    """Log-likelihood ratio of a bigram: a table where the bigram itself was seen, else context part + word part."""
-
-    def __init__(self, toxic: list[np.ndarray], ordinary: list[np.ndarray], size: int):
-        self.size = size
-        one, zero = KneserNey(toxic, size), KneserNey(ordinary, size)
-        pooled = np.bincount(np.union1d(one.keys, zero.keys) % size, minlength=size).astype(float)
-        shared = SHARED * pooled / max(1.0, pooled.sum()) + (1 - SHARED) / size
-        u1, u0, b1, b0 = one.unigram(shared), zero.unigram(shared), one.backoff(), zero.backoff()
-        self.word, self.context = np.log(u1 / u0), np.log(b1 / b0)
+    """Log-likelihood ratio of a bigram: from a table where the bigram itself was seen, else context part + word part."""
+
+    def __init__(self, toxic: list, ordinary: list, size: int, stem_of: np.ndarray, stems: int):
+        self.size, self.stem_of = size, stem_of
+        models = KneserNey(toxic, size, stems), KneserNey(ordinary, size, stems)
+        one, zero = models
         keys = np.union1d(one.keys, zero.keys)
+        # What both classes share: how stems are spread, and how a stem's known words are spread.
+        pooled = one.documents + zero.documents
+        shared = SHARED * pooled / max(1.0, pooled.sum()) + (1 - SHARED) / stems
+        words = np.bincount(keys % size, minlength=size) + 1.0
+        within = words / np.bincount(stem_of, words, stems)[stem_of]
+        unigrams, novel = [], []
+        for m in models:
+            kept, left = _discounted(m.documents)
+            stem = kept + left * shared
+            kept, left = _discounted(m.continuations)
+            unigrams.append(kept + left * stem[stem_of] * within)
+            novel.append(left * stem)
+        u1, u0 = unigrams
+        b1, b0 = one.backoff(), zero.backoff()
+        self.word, self.novel, self.context = np.log(u1 / u0), np.log(novel[0] / novel[1]), np.log(b1 / b0)
+        keys = keys[keys % size != 0]
         v, w = keys // size, keys % size
 
         def p(model: KneserNey, b: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -85,11 +102,11 @@ class Ratio:
         differs = np.abs(exact - self.context[v] - self.word[w]) > 0.05
         self.keys, self.exact = keys[differs], exact[differs].astype(np.float32)
 
-    def of(self, ids: np.ndarray) -> np.ndarray:
-        prev = np.concatenate(([self.size - 1], ids[:-1]))
-        out = self.context[prev] + self.word[ids]
+    def of(self, words: np.ndarray, stems: np.ndarray) -> np.ndarray:
+        prev = np.concatenate(([self.size - 1], words[:-1]))
+        out = self.context[prev] + np.where(words > 0, self.word[words], self.novel[stems])
         if len(self.keys):
-            keys = prev * self.size + ids
+            keys = prev * self.size + words
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             out = np.where(self.keys[at] == keys, self.exact[at], out)
         return out
@@ -118,7 +135,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 class ToxicityModel:
     def __init__(self, rows: list[tuple[bytes, int]]):
-        """rows: (text, label). Without rows of both classes every text scores the smoothed share of label 1."""
+        """rows: (text, label); copies with the same label count once. Without rows of both classes every text scores the smoothed share of label 1."""
+        rows = list(dict.fromkeys(rows))
         labels = np.array([y for _, y in rows], dtype=float)
         self.prior = (labels.sum() + 1) / (len(rows) + 2)
         self.ratio = None
@@ -126,29 +144,39 @@ class ToxicityModel:
             return
         count = Counter(itertools.chain.from_iterable(_words(t) for t, _ in rows))
         self.vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in count.items() if n >= MIN_COUNT), 1)}
-        del count
-        size = len(self.vocabulary) + 2
-        seqs = [self.ids(t) for t, _ in rows]
-        pick = lambda y, keep: [s for i, (s, (_, label)) in enumerate(zip(seqs, rows, strict=True)) if label == y and keep(i)]
+        beginnings: Counter = Counter()
+        for w, n in count.items():
+            beginnings[w[:STEM]] += n
+        self.stems = {w: i for i, w in enumerate(sorted(w for w, n in beginnings.items() if n >= MIN_COUNT), 1)}
+        del count, beginnings
+        size, stems = len(self.vocabulary) + 2, len(self.stems) + 1
+        self.stem_of = np.array([0, *[self.stems.get(w[:STEM], 0) for w in self.vocabulary], 0])
+        texts = [self.ids(t) for t, _ in rows]
+        pick = lambda y, keep: [t for i, (t, (_, label)) in enumerate(zip(texts, rows, strict=True)) if label == y and keep(i)]
         x = np.zeros((len(rows), 3))
         for fold in (0, 1):  # each half is measured by models of the other half
-            half = Ratio(pick(1, lambda i, f=fold: i // 2 % 2 != f), pick(0, lambda i, f=fold: i // 2 % 2 != f), size)
-            for i, s in enumerate(seqs):
-                if i // 2 % 2 == fold:
-                    x[i] = _features(half.of(s)) if len(s) else (0.0, 0.0, 0.0)
+            half = Ratio(pick(1, lambda i, f=fold: i % 2 != f), pick(0, lambda i, f=fold: i % 2 != f), size, self.stem_of, stems)
+            for i, t in enumerate(texts):
+                if i % 2 == fold and len(t[0]):
+                    x[i] = _features(half.of(*t))
         self.shift, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         self.weights = _logistic(np.column_stack([np.ones(len(x)), (x - self.shift) / self.scale]), labels)
-        self.ratio = Ratio(pick(1, lambda i: True), pick(0, lambda i: True), size)
+        self.ratio = Ratio(pick(1, lambda i: True), pick(0, lambda i: True), size, self.stem_of, stems)
 
-    def ids(self, text: bytes) -> np.ndarray:
+    def ids(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Word ids and stem ids of a text."""
         words = _words(text)
-        return np.fromiter(map(self.vocabulary.get, words, itertools.repeat(0)), np.int64, len(words))
+        ids = np.fromiter(map(self.vocabulary.get, words, itertools.repeat(0)), np.int64, len(words))
+        stems = self.stem_of[ids]
+        for i in np.flatnonzero(ids == 0).tolist():
+            stems[i] = self.stems.get(words[i][:STEM], 0)
+        return ids, stems
 
     def score(self, text: bytes) -> float:
         if self.ratio is None:
             return float(self.prior)
-        ids = self.ids(text)
-        x = (np.array(_features(self.ratio.of(ids)) if len(ids) else (0.0, 0.0, 0.0)) - self.shift) / self.scale
+        words, stems = self.ids(text)
+        x = (np.array(_features(self.ratio.of(words, stems)) if len(words) else (0.0, 0.0, 0.0)) - self.shift) / self.scale
         return float(1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30))))
 
 
