@@ -88,6 +88,10 @@ def _holds(kind: str, v: Column) -> Column:
     return n.between(10, 15)
 
 
+def _checker(kind: str):
+    return lambda s: _holds(kind, s["v"])
+
+
 def base_spans(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` and the checked base spans of each kind as array columns ``email``, ``ip``, ``card``, ``phone``, with ``address`` and ``number`` for the generators."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -97,7 +101,7 @@ def base_spans(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     out = out.select(*keep, *[_spans(f"{k}_found", f"{k}_gaps").alias(k) for k in cut])
     # neighbours of the candidates are cut from the text where it is still at hand
     for kind in KINDS[1:]:
-        out = out.withColumn(kind, F.filter(kind, lambda s, kind=kind: _holds(kind, s["v"])))
+        out = out.withColumn(kind, F.filter(kind, _checker(kind)))
     return out
 
 
@@ -134,13 +138,17 @@ def _candidate(s: Column, text: Column, loose: str) -> Column:
     )
 
 
+def _describer(loose: str, text: Column):
+    return lambda s: _candidate(s, text, loose)
+
+
 def analyse(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, the base spans per kind, and ``candidates``: spans with kind, features and ``positive`` (overlaps a base span of its kind)."""
     held = "__pii_text"
     # texts without any digit or @ sign have no spans; the others keep their text until the candidates' features are taken
     spans = base_spans(docs.withColumn(held, F.coalesce(F.col(text), F.lit(""))), held, [*keep, held])
     # a phone number's own sign and brackets stand before its digits
-    both = F.concat(*[F.transform(k, lambda s, k=k: _candidate(s, F.col(held), k)) for k in LOOSE])
+    both = F.concat(*[F.transform(k, _describer(k, F.col(held))) for k in LOOSE])
     spans = spans.withColumn("candidates", both)
 
     def overlaps(c: Column, kind: str) -> Column:
@@ -261,8 +269,12 @@ def fit(analysed: DataFrame) -> PiiModel:
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
+def _with_rank(rank: int):
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"))
+
+
 def _ranked(kind_columns: list[tuple[int, Column]]) -> Column:
-    return F.array_sort(F.concat(F.array().cast(_SPAN), *[F.transform(c, lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("rank"), s["end"].alias("end"))) for i, c in kind_columns]))
+    return F.array_sort(F.concat(F.array().cast(_SPAN), *[F.transform(c, _with_rank(i)) for i, c in kind_columns]))
 
 
 def all_spans(model: PiiModel) -> Column:
