@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, lm_scoring, minhash, packing, sharding, toxicity, warc
+from . import ann, decontamination, lm_scoring, minhash, packing, pii, sharding, token_output, toxicity, warc
 
-MODULES = (packing, lm_scoring, toxicity, warc, decontamination, minhash, sharding)
+MODULES = (packing, lm_scoring, toxicity, warc, pii, ann, decontamination, token_output, minhash, sharding)
 
 
 def queries():
