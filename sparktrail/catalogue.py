@@ -1,11 +1,19 @@
 """Query catalogue of the lineage engine: (spark, sf_dir) -> DataFrame, and the DuckDB text of each."""
 
+from __future__ import annotations
+
+from .plans import micro, tpch
+
 FLAGSHIP = "q3_lineage_lineitem"
 
 
+def _entries() -> dict[str, micro.Entry]:
+    return micro.entries() | tpch.entries()
+
+
 def queries():
-    return {}
+    return {name: e.run for name, e in _entries().items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: e.sql for name, e in _entries().items() if e.sql}
