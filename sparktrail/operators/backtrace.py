@@ -107,6 +107,11 @@ def backtrace(captured: Captured, access: str, outputs: list[str] | None = None,
     if not reaches(captured.sources, access):
         raise ValueError(f"{access} has no lineage in this query")
     outputs = list(captured.data if outputs is None else outputs)
+    if where is None and offset is None:
+        whole = _whole_layer(captured, outputs)
+        if whole is not None:
+            df, layer = whole
+            return _union(_follow(df, layer.sources, access, [f"out_{o}" for o in outputs], factored))
     root = captured.df
     if where is not None:
         root = root.where(F.expr(where))
@@ -119,21 +124,27 @@ def backtrace(captured: Captured, access: str, outputs: list[str] | None = None,
     keep = [f"out_{o}" for o in outputs]
     single = where is not None or offset is not None
     parts = _first_step(captured, root, access, keep, factored) if single else _follow(root, captured.sources, access, keep, factored)
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def lineage(captured: Captured, access: str, where: str | None = None, offset: int | None = None) -> DataFrame:
-    """The distinct ids of the rows of ``access`` behind the (chosen) output: <access>_<key>, without nulls from outer joins.
+def _whole_layer(captured: Captured, outputs: list[str]):
+    """Where every group of the last aggregation is in the output and only its keys are asked for, its layer with those keys; no join is needed then."""
+    keys = dict(captured.keys)
+    if len(captured.sources) != 1 or not isinstance(captured.sources[0], Via):
+        return None
+    layer = captured.sources[0].layer
+    if layer.id not in captured.complete or not set(outputs) <= set(keys):
+        return None
+    return layer.df.select("*", *[F.col(keys[o]).alias(f"out_{o}") for o in outputs]), layer
 
-    Where every group of the last aggregation is in the output, its layer is
-    the answer and is read without a join.
-    """
+
+def lineage(captured: Captured, access: str, where: str | None = None, offset: int | None = None) -> DataFrame:
+    """The distinct ids of the rows of ``access`` behind the (chosen) output: <access>_<key>, without nulls from outer joins."""
     keys = _keys(captured.sources, access)
-    if where is None and offset is None and len(captured.sources) == 1:
-        s = captured.sources[0]
-        if isinstance(s, Via) and s.layer.id in captured.complete and s.cols:
-            found = reduce(lambda a, b: a.unionByName(b), _follow(s.layer.df, s.layer.sources, access, [], True))
-            return found.select(*keys).distinct().where(" OR ".join(f"`{k}` IS NOT NULL" for k in keys))
     return backtrace(captured, access, [], where, offset).select(*keys).distinct().where(" OR ".join(f"`{k}` IS NOT NULL" for k in keys))
 
 

@@ -10,6 +10,7 @@ Catalyst decides how it runs.
 from __future__ import annotations
 
 import itertools
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,9 @@ def _sorts(order) -> list[Column]:
     return out
 
 
+_PEERS = re.compile(r"\s*(?:rank|dense_rank|percent_rank|cume_dist)\s*\(", re.IGNORECASE)
+
+
 class _Capture:
     def __init__(self):
         self.ids = itertools.count(1)
@@ -43,7 +47,7 @@ class _Capture:
     # --- scan, filter, project, sort, limit: ids ride along -------------------
 
     def _scan(self, n: N.Scan) -> Captured:
-        data = [f"{n.prefix}{c}" for c in n.table.columns]
+        data = [n.name(c) for c in n.table.columns]
         if n.keys is None:
             ids = [F.col("_metadata.file_path").alias(f"_p_{n.access}_file"), F.col("_metadata.row_index").alias(f"_p_{n.access}_row")]
             keys = ("file", "row")
@@ -60,7 +64,9 @@ class _Capture:
     def _project(self, n: N.Project) -> Captured:
         c = self.of(n.child)
         df = c.df.select(*[F.expr(e).alias(name) for name, e in n.columns.items()], *hidden(c.sources))
-        return c.with_(df=df, data=tuple(n.columns))
+        same = {name: e.strip("`") for name, e in n.columns.items()}
+        ptr = dict(c.keys)
+        return c.with_(df=df, data=tuple(n.columns), keys=tuple((name, ptr[e]) for name, e in same.items() if e in ptr))
 
     def _sort(self, n: N.Sort) -> Captured:
         c = self.of(n.child)
@@ -144,7 +150,7 @@ class _Capture:
         layer = Layer(i, "aggregate" if ptr else "pure_aggregate", keyed.select(*ptr, *hidden(c.sources)), ptr, c.sources)
         df = keyed.groupBy(*ptr).agg(*[F.expr(e).alias(name) for name, e in n.aggs.items()]) if n.aggs else keyed.select(*ptr).distinct()
         df = df.select(*[F.col(p).alias(name) for name, p in zip(n.keys, ptr, strict=True)], *[F.col(f"`{a}`") for a in n.aggs], *ptr)
-        out = Captured(df, (*n.keys, *n.aggs), (Via(layer, ptr),), frozenset([i]))
+        out = Captured(df, (*n.keys, *n.aggs), (Via(layer, ptr),), frozenset([i]), keys=tuple(zip(n.keys, ptr, strict=True)))
         return out.with_(df=df.where(F.expr(n.having)), complete=frozenset()) if n.having else out
 
     def _distinct(self, n: N.Distinct) -> Captured:
@@ -152,7 +158,7 @@ class _Capture:
         i = next(self.ids)
         ptr = tuple(f"_ptr_{i}_{k}" for k in range(len(c.data)))
         layer = Layer(i, "aggregate", c.df.select(*[F.col(f"`{d}`").alias(p) for d, p in zip(c.data, ptr, strict=True)], *hidden(c.sources)), ptr, c.sources)
-        return Captured(_pointed(c.result.distinct(), c.data, ptr), c.data, (Via(layer, ptr),), frozenset([i]))
+        return Captured(_pointed(c.result.distinct(), c.data, ptr), c.data, (Via(layer, ptr),), frozenset([i]), keys=tuple(zip(c.data, ptr, strict=True)))
 
     # --- windows -----------------------------------------------------------------
 
@@ -184,7 +190,9 @@ class _Capture:
             spec = whole.orderBy(f"_dr_{i}").rangeBetween(first, last)
         else:
             spec = ordered.rangeBetween(first, last)
-        df = df.withColumns({**{name: F.expr(e).over(spec) for name, e in n.exprs.items()}, lo: F.min(place).over(spec), hi: F.max(place).over(spec)})
+        # ranks are about peers, so they are taken over the user's order; they have no frame of their own
+        over = {name: F.expr(e).over(ordered if _PEERS.match(e) else spec) for name, e in n.exprs.items()}
+        df = df.withColumns({**over, lo: F.min(place).over(spec), hi: F.max(place).over(spec)})
         layer = Layer(i, "frame", df.select(*ptr, place, *hidden(c.sources)), ptr, c.sources, place)
         keeps = (low is None or low <= 0) and (high is None or high >= 0)
         sources = (Via(layer, ptr, (lo, hi)),) + (() if keeps else c.sources)

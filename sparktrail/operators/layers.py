@@ -96,6 +96,7 @@ class Captured:
 
     ``complete``: layers of which every group is still there, so that a
     backtrace of all rows needs no join.  ``order``: the sort of the result.
+    ``keys``: output columns that are pointer columns of the root's layer.
     """
 
     df: DataFrame
@@ -103,6 +104,7 @@ class Captured:
     sources: tuple
     complete: frozenset[int] = field(default_factory=frozenset)
     order: tuple[str, ...] = ()
+    keys: tuple[tuple[str, str], ...] = ()
 
     @property
     def result(self) -> DataFrame:
@@ -126,7 +128,7 @@ def _source_json(s) -> dict:
 def graph_json(captured: Captured) -> str:
     """The dependency graph: the root's sources, and each layer with its pointers and sources."""
     layers = [{"id": x.id, "kind": x.kind, "ptr": x.ptr, "place": x.place, "columns": x.df.columns, "sources": [_source_json(s) for s in x.sources]} for x in layers_of(captured.sources)]
-    return json.dumps({"data": captured.data, "order": captured.order, "complete": sorted(captured.complete), "sources": [_source_json(s) for s in captured.sources], "layers": layers}, indent=1)
+    return json.dumps({"data": captured.data, "order": captured.order, "complete": sorted(captured.complete), "keys": captured.keys, "sources": [_source_json(s) for s in captured.sources], "layers": layers}, indent=1)
 
 
 def save(captured: Captured, path: str, partitions: int = 0) -> Captured:
@@ -168,7 +170,7 @@ def load(spark: SparkSession, path: str) -> Captured:
             return Via(layer(x["via"]), tuple(x["cols"]), tuple(x["frame"]) if x["frame"] else None)
         return Guard(x["guard"], x["value"], tuple(map(source, x["sources"])))
 
-    return Captured(spark.read.parquet(f"{path}/root"), tuple(graph["data"]), tuple(map(source, graph["sources"])), frozenset(graph["complete"]), tuple(graph["order"]))
+    return Captured(spark.read.parquet(f"{path}/root"), tuple(graph["data"]), tuple(map(source, graph["sources"])), frozenset(graph["complete"]), tuple(graph["order"]), tuple(map(tuple, graph["keys"])))
 
 
 def cached(captured: Captured) -> Captured:

@@ -96,6 +96,10 @@ class Scan(Plan):
     table: DataFrame
     keys: tuple[str, ...] | None
     prefix: str = ""
+    names: Mapping[str, str] | None = None
+
+    def name(self, column: str) -> str:
+        return self.names[column] if self.names else f"{self.prefix}{column}"
 
 
 @dataclass(frozen=True, eq=False)
