@@ -44,6 +44,7 @@ from .minhash import word_hashes
 ORDER = 5
 SYMBOLS, BITS = 257, 9
 BOUNDARY = 256
+LONGEST, SHORTER = 0.3, 0.5
 BATCH_BYTES, SLICE_BYTES = 24 << 20, 4 << 20
 #: Batches whose lists one task adds up.
 FAN_IN = 256
@@ -200,9 +201,10 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.
             total -= _find(above.contexts, out, longer)
             kinds -= _find(above.contexts, above.kinds, longer)
         hit = open_ & (n > 0)
-        log[hit] += np.log10((n[hit] - 0.5) / total[hit])
+        discount = LONGEST if order == ORDER else SHORTER
+        log[hit] += np.log10((n[hit] - discount) / total[hit])
         escape = open_ & ~hit & (kinds > 0)
-        log[escape] += np.log10(kinds[escape] / 2 / total[escape])
+        log[escape] += np.log10(kinds[escape] * discount / total[escape])
         open_ &= ~hit
         above = level
     log[open_] -= np.log10(SYMBOLS - len(above.keys))
