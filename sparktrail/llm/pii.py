@@ -5,9 +5,9 @@ always reported.  High-recall generators propose further, overlapping
 spans.  Each gets a kind and integer features of its format and context;
 the trees are boosted on the counts of all feature cells of all documents,
 where a candidate is positive if it overlaps a base span of its kind.  Per
-kind the lowest margin is chosen at which, on the other half of the
-documents, at least ``PRECISION`` of the candidates are positive; candidates
-from there on that overlap no base span are added.
+kind the margins are calibrated on the other half of the documents (isotonic
+regression of the positive share); candidates whose calibrated share is at
+least ``PRECISION`` and that overlap no base span are added.
 
 Features are small integers, so there are fewer than ``MAX_CELLS`` cells at
 any size of the corpus; their counts are all that comes to the driver, and
@@ -242,11 +242,15 @@ class PiiModel:
         for kind in range(len(KINDS)):
             rows = np.flatnonzero(held[:, 0] == kind)
             rows = rows[np.argsort(-margin[rows], kind="stable")]
-            total, right = np.cumsum(held[rows, width + 1]), np.cumsum(held[rows, width + 2])
-            for i in range(len(rows)):
-                ends_tie = i + 1 == len(rows) or margin[rows[i + 1]] < margin[rows[i]]
-                if ends_tie and total[i] >= MIN_SUPPORT and right[i] >= precision * total[i]:
-                    self.thresholds[kind] = float(margin[rows[i]])
+            blocks: list[list[float]] = []  # pooled adjacent violators: [candidates, positives, lowest margin]
+            for i in rows:
+                blocks.append([held[i, width + 1], held[i, width + 2], margin[i]])
+                while len(blocks) > 1 and (blocks[-1][2] == blocks[-2][2] or blocks[-1][1] * blocks[-2][0] >= blocks[-2][1] * blocks[-1][0]):
+                    n, p, low = blocks.pop()
+                    blocks[-1] = [blocks[-1][0] + n, blocks[-1][1] + p, low]
+            good = [b for b in blocks if b[1] >= precision * b[0]]
+            if sum(b[0] for b in good) >= MIN_SUPPORT:
+                self.thresholds[kind] = float(good[-1][2])
 
     def accepted(self, c: Column) -> Column:
         at = F.lit(None).cast("double")
