@@ -173,6 +173,12 @@ def load(spark: SparkSession, path: str) -> Captured:
     return Captured(spark.read.parquet(f"{path}/root"), tuple(graph["data"]), tuple(map(source, graph["sources"])), frozenset(graph["complete"]), tuple(graph["order"]), tuple(map(tuple, graph["keys"])))
 
 
+def keep_result(captured: Captured) -> Captured:
+    """Keep the result with its pointers: the query runs once, and every backtrace starts from the same rows."""
+    captured.df.persist()
+    return captured
+
+
 def cached(captured: Captured) -> Captured:
     """Keep result and layers on the executors' disks instead of writing them."""
     from pyspark import StorageLevel

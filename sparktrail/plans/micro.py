@@ -220,7 +220,8 @@ def entries() -> dict[str, Entry]:
         out[name] = Entry(run, sql)
 
     add("scan_lineage", traced(lambda t: t("nation", "n"), "n", ["n_name"]), "SELECT n_name AS out_n_name, n_nationkey AS n_n_nationkey FROM nation")
-    add("scan_rowid", scan_rowid, None)
+    # the views that the driver registers hide row numbers, so this text names the file of the scale it compares at
+    add("scan_rowid", scan_rowid, "SELECT l_orderkey AS out_l_orderkey, l_linenumber AS out_l_linenumber, file_row_number AS l_row FROM read_parquet('/root/testdata/sf0.01/lineitem.parquet', file_row_number = true) WHERE l_quantity = 50 AND l_returnflag = 'R'")
     add("filter_lineage", traced(urgent, "o", ["o_orderkey"]), "SELECT o_orderkey AS out_o_orderkey, o_orderkey AS o_o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice BETWEEN 1000 AND 200000 AND o_orderstatus <> 'P'")
     add("join2_lineage", traced(join2, "r", ["n_nationkey"]), "SELECT n_nationkey AS out_n_nationkey, r_regionkey AS r_r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name LIKE 'A%' AND r_name NOT LIKE '%CA'")
     add("join3_lineage", traced(join3, "n", ["c_custkey"]), "SELECT c_custkey AS out_c_custkey, n_nationkey AS n_n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND c_mktsegment = 'BUILDING'")
