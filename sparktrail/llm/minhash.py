@@ -1,21 +1,23 @@
 """Near-duplicate detection by b-bit MinHash.
 
 Sets are the distinct five-word shingles of whole texts (64-bit hashes).
-128 minima per set give 32 band keys of four minima each, and the low two
-bits of each minimum are packed into a 32-byte signature.  Documents that
+The first 128 of 768 minima per set give 32 band keys of four minima each,
+and the low two bits of every minimum are packed into a 192-byte signature.  Documents that
 share a band key are compared by counting equal two-bit fields; the count
 is corrected for fields that agree by chance.  What this estimate lets
 through is confirmed on the full sets, and the confirmed links' components
-are found by alternating star contractions on the cluster.
+are found by contraction.
 
 Skew.  Documents with the same word sequence are one class from the start.
-In a band's bucket every member is compared with the bucket's pivots only
-(a member unlike all pivots becomes one), so a bucket makes at most one
-pair per member and band.  Buckets of more than ``HOT`` members are split by
-salt and their pivots compared in a second pass.  Afterwards the members of
-a bucket that are still in different components are compared with each
-other, best estimates first, until no unconfirmed pair is left, so no link
-that decides a component is lost.
+In a band's bucket every member is compared with at most 64 pivots (members
+that are not very close to a pivot become pivots while there is room) and
+paired with the best; of a member's pairs in all bands the best one is
+confirmed, so there is at most one pair per document.
+Buckets of more than ``HOT`` members are split by salt and their pivots
+compared in a second pass.  Afterwards the members of a bucket that are
+still in different components are compared with each other, each pair in the
+first band that both share, best estimates first, until no unconfirmed pair
+is left, so no link that decides a component is lost.
 """
 
 from __future__ import annotations
@@ -31,14 +33,19 @@ from pyspark.sql import functions as F
 from .common import LOWER, mix64, table, text_bytes, tune, written
 
 SHINGLE = 5
-HASHES, BANDS, BITS = 128, 32, 2
-ROWS = HASHES // BANDS
+HASHES, BANDS, ROWS, BITS = 768, 32, 4, 2
 SIMILARITY = 75  # per cent
-#: Estimates below this are not confirmed: 4.3 standard deviations (0.046 at similarity 0.75) under 0.75.
-ESTIMATE = 0.55
-HOT = 10_000
+#: Estimates below this are not confirmed: 3.9 standard deviations (0.0188 at similarity 0.75) under 0.75.
+ESTIMATE = 0.677
+#: Pivots of a bucket; a member whose best estimate is under CLOSE becomes one while there is room.
+PIVOTS, CLOSE = 64, 0.85
+HOT = 50_000
+#: Pairs between components that are confirmed in one task.
+TOGETHER = 20_000
+#: Links that one task contracts in memory; more are contracted by star rounds on the cluster first.
+LOCAL_LINKS = 1_000_000
 #: Bytes of text whose arrays are built at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _rng = np.random.default_rng(1234567)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -92,7 +99,7 @@ def shingles(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def minima(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """128 minima of each text's shingles; texts without any are left out."""
+    """The minima of each text's shingles; texts without any are left out."""
     starts = at[:-1][np.diff(at) > 0]
     out = np.empty((len(starts), HASHES), np.uint32)
     for j in range(HASHES):
@@ -191,6 +198,15 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], names=["a", "b", "link"])
 
 
+def near(sig: np.ndarray, n: int, sigs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Estimates of one signature to many, 0 where the sizes alone rule the similarity out."""
+    fits = 100 * np.minimum(sizes, n) >= SIMILARITY * np.maximum(sizes, n)
+    out = np.zeros(len(sigs))
+    if fits.any():
+        out[fits] = estimate(sig, sigs[fits])
+    return out
+
+
 def _buckets(batches: Iterator[pa.RecordBatch], extra: list[str]) -> Iterator[tuple[tuple[int, ...], bool, list[np.ndarray]]]:
     """Runs of equal (bucket, salt) of a sorted partition, batch by batch: (key, whether it goes on from the batch before, columns)."""
     last = None
@@ -205,117 +221,151 @@ def _buckets(batches: Iterator[pa.RecordBatch], extra: list[str]) -> Iterator[tu
                 last = key
 
 
-STAR = "kind int, bucket long, a long, b long, sig binary"
+STAR = "kind int, bucket long, a long, b long, n long, sig binary, near double"
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: a pair (pivot, member) to confirm. Kind 1: a member of a bucket of two or more. Kind 2: a pivot of a salted bucket.
+    """Kind 0: a pair (pivot, member) to confirm. Kind 1: a pivot of a salted bucket.
 
     Only the pivots of the bucket at hand are held.
     """
-    pivots = np.zeros((0, HASHES * BITS // 64), np.uint64)
-    ids: list[int] = []
-    lone: tuple | None = None  # the first member, until a second one comes
+    width = HASHES * BITS // 64
+    pivots, sizes, ids = np.zeros((PIVOTS, width), np.uint64), np.zeros(PIVOTS, np.int64), []
     out: list[tuple] = []
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.float64())
 
     def flush():
         nonlocal out
         cols, out = list(zip(*out, strict=True)), []
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "bucket", "a", "b", "sig"])
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["kind", "bucket", "a", "b", "n", "sig", "near"])
 
-    for (bucket, salt), goes_on, (sigs, members) in _buckets(batches, []):
+    def hold(member: int, n: int, sig: np.ndarray) -> None:
+        pivots[len(ids)], sizes[len(ids)] = sig, n
+        ids.append(member)
+
+    for (bucket, salt), goes_on, (sigs, members, counts) in _buckets(batches, ["n"]):
         if not goes_on:
-            if len(members) == 1 and salt < 0:
-                pivots, ids, lone = sigs[:1], [int(members[0])], (int(members[0]), sigs[0].tobytes())
-                continue
-            pivots, ids, lone = pivots[:0], [], None
-        if lone is not None:
-            out.append((1, bucket, *([lone[0]] * 2), lone[1]))
-            lone = None
-        for member, sig in zip(members.tolist(), sigs, strict=True):
-            raw = sig.tobytes()
-            out.append((1, bucket, member, member, raw))
-            at = estimate(sig, pivots) if len(ids) else np.zeros(0)
-            if len(at) and (best := int(at.argmax())) >= 0 and at[best] >= ESTIMATE:
-                if ids[best] != member:
-                    out.append((0, bucket, min(ids[best], member), max(ids[best], member), None))
-            else:
-                pivots = np.vstack((pivots, sig[None, :]))
-                ids.append(member)
+            ids = []
+        for member, n, sig in zip(members.tolist(), counts.tolist(), sigs, strict=True):
+            at = near(sig, n, pivots[: len(ids)], sizes[: len(ids)]) if ids else np.zeros(0)
+            best = int(at.argmax()) if len(at) else -1
+            if best >= 0 and at[best] >= ESTIMATE and ids[best] != member:
+                out.append((0, bucket, min(ids[best], member), max(ids[best], member), None, None, float(at[best])))
+            if len(ids) < PIVOTS and (best < 0 or at[best] < CLOSE):
+                hold(member, n, sig)
                 if salt >= 0:
-                    out.append((2, bucket, member, member, raw))
+                    out.append((1, bucket, member, member, n, sig.tobytes(), None))
         if len(out) >= 10_000:
             yield flush()
     if out:
         yield flush()
 
 
-PAIR = "a long, b long"
+PAIR = "a long, b long, bucket long, w long"
 
 
-def _rest(limit: int | None):
-    """Pairs of a bucket's members in different components, for each member outside the largest one the best ``limit`` by estimate; a pair (-1, -1) tells that some were left for later."""
+def _rest(first: int, last: int | None):
+    """Pairs of a bucket's members in different components: for each minor member those whose estimates rank from ``first`` to before ``last``; a pair (-1, -1) tells that some rank later.
+
+    Ranks and minor members are those of the first round in every round, so each pair comes in one round only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        here = [0]  # the bucket of what is held
 
         def pairs() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            sigs, ids, comps, minor, main = (np.concatenate(c) for c in zip(*held, strict=True))
+            sigs, ids, sizes, start, comps, minor, main, bands, band = (np.concatenate(c) for c in zip(*held, strict=True))
             found, more = set(), False
+            bucket = here[0]
             place = np.flatnonzero(main)  # rows that are here as partners; minor ones may be here as visitors only
             for i in np.flatnonzero(minor):
-                near = estimate(sigs[i], sigs[place])
-                ok = place[(near >= ESTIMATE) & (comps[place] != comps[i])]
-                if limit is not None and len(ok) > limit:
-                    ok = ok[np.lexsort((ids[ok], -estimate(sigs[i], sigs[ok])))[:limit]]
-                    more = True
-                found.update((min(x, int(ids[i])), max(x, int(ids[i]))) for x in ids[ok].tolist())
+                at = near(sigs[i], int(sizes[i]), sigs[place], sizes[place])
+                ok = np.flatnonzero((at >= ESTIMATE) & (start[place] != start[i]))
+                if len(ok) and band[i]:  # only in the first band that both share
+                    ok = ok[~(bands[place[ok], : band[i]] == bands[i, : band[i]]).any(axis=1)]
+                if first or (last is not None and len(ok) > last):
+                    more = more or (last is not None and len(ok) > last)
+                    ok = ok[np.lexsort((ids[place[ok]], -at[ok]))[first:last]]
+                ok = ok[comps[place[ok]] != comps[i]]
+                own, size = int(ids[i]), int(sizes[i])
+                found.update((min(x, own), max(x, own), bucket, n + size) for x, n in zip(ids[place[ok]].tolist(), sizes[place[ok]].tolist(), strict=True))
                 if len(found) > 100_000:
                     yield emit(found)
                     found = set()
             if more:
-                found.add((-1, -1))
+                found.add((-1, -1, bucket, 0))
             if found:
                 yield emit(found)
 
         def emit(found):
-            a, b = zip(*found, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "bucket", "w"])
 
-        for _, goes_on, cols in _buckets(batches, ["comp", "minor", "main"]):
+        for key, goes_on, cols in _buckets(batches, ["n", "start", "comp", "minor", "main", "bands", "band"]):
             if not goes_on:
                 yield from pairs()
                 held = []
-            held.append([cols[0], *cols[1:]])
+            here[0] = key[0]
+            held.append([*cols[:7], np.stack(cols[7]), cols[8]])
         yield from pairs()
 
     return run
 
 
-def components(links: DataFrame, label: str = "components") -> DataFrame:
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over one partition's links; gives (node, smallest node of its set)."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while (up := parent.get(x, x)) != top:
+            parent[x] = top
+            x = up
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            u, v = root(u), root(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    rows = [(x, root(x)) for x in list(parent)]
+    if rows:
+        u, v = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def components(links: DataFrame, label: str = "components", local: int = LOCAL_LINKS) -> DataFrame:
     """(id, comp) of every id in ``links`` (a, b): comp is the smallest id it reaches.
 
-    Alternating large-star and small-star contraction; each round is one
-    pass over the links, written to the shared folder, and nothing but a
-    count and a checksum comes to the driver.
+    At most ``local`` links are contracted by union-find in one task.  More
+    are first contracted ``local`` at a time, and then by alternating
+    large-star and small-star rounds until nothing changes: each round is one
+    pass, written to the shared folder, and nothing but a count and a
+    checksum comes to the driver.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
-    mark = None
-    while True:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), label)
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == mark:
-            break
-        mark = now
-    roots = edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionAll(roots).distinct()
+    n = edges.count()
+    if n <= local:
+        edges = written(edges.coalesce(1).mapInArrow(_contract, "u long, v long"), label)
+    else:
+        edges = written(edges.repartition(-(-n // local)).mapInArrow(_contract, "u long, v long").distinct(), label)
+        mark = None
+        while True:
+            both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
+            edges = written(small.where("u <> v").distinct(), label)
+            now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+            if now == mark:
+                break
+            mark = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
 def _sorted_buckets(rows: DataFrame) -> DataFrame:
@@ -328,31 +378,30 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(docs.mapInArrow(_sign, SIGNATURE), "signatures")
     ids = signed.where("doc_id is not null and key is not null")
-    classes = written(ids.groupBy("key").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("m")).select("key", F.col("m.doc_id").alias("rep"), "m.sig", "m.bands"), "classes")
-
-    rows = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), "sig")
-    hot = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
-    hot = written(hot.select("bucket", F.ceil(F.col("n") / HOT).cast("int").alias("salts")), "hot-buckets")
-    if hot.isEmpty():
-        salted = rows.withColumn("salt", F.lit(-1))
-    else:
-        salted = rows.join(hot, "bucket", "left").withColumn("salt", F.when(F.col("salts").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))).drop("salts")
-    order = ["bucket", "salt", "id", "sig"]
-    found = written(_sorted_buckets(salted.select(*order)).mapInArrow(_stars, STAR), "stars")
-    pairs = found.where("kind = 0").select("a", "b")
-    if not hot.isEmpty():
-        second = found.where("kind = 2").select("bucket", F.lit(-1).alias("salt"), F.col("a").alias("id"), "sig")
-        pairs = pairs.unionAll(_sorted_buckets(second).mapInArrow(_stars, STAR).where("kind = 0").select("a", "b"))
-    members = found.where("kind = 1").select("bucket", F.col("a").alias("id"), "sig")
-
-    checked = confirm(docs, pairs.distinct())
-    comps = components(checked.where("link").select("a", "b"))
-    for limit in (16, 512, None):
-        rest = written(_unresolved(members, comps, limit), "rest")
-        fresh = rest.where("a >= 0").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    classes = written(ids.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("m")).select("key", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), "m.sig", "m.bands"), "classes")
+
+    # Only ids are dealt by band key; sizes and signatures follow for the keys that two or more share.
+    rows = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    members = rows.join(shared, "bucket").join(classes.select(F.col("rep").alias("id"), "n", "sig"), "id")
+    salt = F.when(F.col("k") > HOT, F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / HOT)).cast("int")).otherwise(-1)
+    members = written(members.select("bucket", salt.alias("salt"), "id", "n", "sig"), "members")
+    found = written(_sorted_buckets(members).mapInArrow(_stars, STAR), "stars")
+    pairs = found.where("kind = 0").select("a", "b", "near")
+    second = found.where("kind = 1").select("bucket", F.lit(-1).alias("salt"), F.col("a").alias("id"), "n", "sig")
+    if not second.isEmpty():
+        pairs = pairs.unionAll(_sorted_buckets(second).mapInArrow(_stars, STAR).where("kind = 0").select("a", "b", "near"))
+    # over all bands, one pair for each member: that with its best pivot
+    pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("near", -F.col("a"))).alias("a")).select("a", "b")
+
+    checked = confirm(docs, pairs)
+    start = comps = components(checked.where("link").select("a", "b"))
+    for first, last in ((0, 64), (64, None)):
+        rest = written(_unresolved(members, classes, start, comps, first, last), "rest")
+        fresh = rest.where("a >= 0").groupBy("a", "b").agg(F.min("bucket").alias("bucket"), F.max("w").alias("w")).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         fresh = written(fresh, "fresh")
         if not fresh.isEmpty():
-            new = confirm(docs, fresh)
+            new = confirm_together(docs, fresh)
             checked = checked.unionAll(new)
             if not new.where("link").isEmpty():
                 comps = components(checked.where("link").select("a", "b"))
@@ -361,16 +410,18 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return signed, classes.select("key", "rep"), comps
 
 
-def _unresolved(members: DataFrame, comps: DataFrame, limit: int | None) -> DataFrame:
+def _unresolved(members: DataFrame, classes: DataFrame, start: DataFrame, comps: DataFrame, first: int, last: int | None) -> DataFrame:
     """Candidate pairs between components that share a bucket. Members outside a bucket's largest component visit every salt of the bucket."""
-    rows = members.join(comps, "id", "left").select("bucket", "id", "sig", F.coalesce("comp", "id").alias("comp"))
-    sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = mixed.select("bucket", "largest", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
-    rows = rows.join(mixed, "bucket").withColumn("minor", F.col("comp") != F.col("largest")).withColumn("home", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    rows = members.drop("salt").join(start.withColumnRenamed("comp", "start"), "id", "left").withColumn("start", F.coalesce("start", "id"))
+    sizes = rows.groupBy("bucket", "start").agg(F.count(F.lit(1)).alias("k"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("start", F.struct("k", "start")).alias("largest"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = mixed.select("bucket", "largest", F.ceil(F.col("k") / HOT).cast("int").alias("salts"))
+    rows = rows.join(mixed, "bucket").withColumn("minor", F.col("start") != F.col("largest")).withColumn("home", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    rows = rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    rows = rows.join(classes.select(F.col("rep").alias("id"), "bands"), "id").withColumn("band", F.array_position("bands", F.col("bucket")).cast("int") - 1)
     placed = rows.withColumn("salt", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("home"))))
-    placed = placed.select("bucket", "salt", "id", "sig", "comp", "minor", (F.col("salt") == F.col("home")).alias("main"))
-    return _sorted_buckets(placed).mapInArrow(_rest(limit), PAIR)
+    placed = placed.select("bucket", "salt", "id", "n", "sig", "start", "comp", "minor", (F.col("salt") == F.col("home")).alias("main"), "bands", "band")
+    return _sorted_buckets(placed).mapInArrow(_rest(first, last), PAIR)
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -381,7 +432,38 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     one = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
     checked = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long, link boolean")
-    return written(checked.groupBy("a", "b").agg(F.max("link").alias("link")), "checked")
+    return written(checked, "checked")
+
+
+def _confirm_group(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    held = {i: np.frombuffer(g, np.uint64) for i, g in zip(sets.column("id").to_pylist(), sets.column("grams").to_pylist(), strict=True)}
+    a, b, keep = pairs.column("a"), pairs.column("b"), []
+    for i, j in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        one, two = held[i], held[j]
+        both = len(np.intersect1d(one, two, assume_unique=True))
+        keep.append(100 * both >= SIMILARITY * (len(one) + len(two) - both))
+    return pa.Table.from_arrays([a, b, pa.chunked_array([pa.array(keep, pa.bool_())])], names=["a", "b", "link"])
+
+
+def confirm_together(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """As ``confirm``, for pairs (a, b, bucket, w) of which many share documents: w is the size of both sets.
+
+    Pairs of one bucket go to the same part (a large bucket's in chunks by
+    their smaller id), and a part gets each set once.  The number of parts
+    follows from the number of pairs and the sizes of their sets, so a part
+    holds about ``TOGETHER`` pairs or 64 MB of sets.
+    """
+    sizes = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("w").alias("s"))
+    total = sizes.agg(F.sum("k").alias("k"), F.sum("s").alias("s")).first()
+    parts = max(1, -(-total["k"] // TOGETHER), -(-total["s"] * 8 // (256 << 20)))
+    chunks = F.greatest(F.ceil(F.col("k") / TOGETHER), F.ceil(F.col("s") * 8 / (256 << 20)))
+    dealt = pairs.join(sizes, "bucket").select("a", "b", F.pmod(F.xxhash64("bucket", F.pmod(F.xxhash64("a"), chunks)), F.lit(parts)).cast("int").alias("part"))
+    dealt = written(dealt, "dealt")
+    place = F.col("part").alias("place")
+    needed = dealt.select(place, F.col("a").alias("id")).unionAll(dealt.select(place, F.col("b").alias("id"))).distinct()
+    sets = docs.join(needed.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, grams binary")
+    shipped = needed.join(sets, "id")
+    return written(dealt.groupBy("part").cogroup(shipped.groupBy("place")).applyInArrow(_confirm_group, "a long, b long, link boolean"), "checked")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
