@@ -2,7 +2,7 @@
 
 Two interpolated bigram models, one of toxic and one of ordinary labelled
 documents, back off to their class's continuation counts, from there to the
-word's stem (its first bytes, counted by documents, so that inflected and
+word's stem (its first bytes, counted by contexts, so that inflected and
 unseen words are met) and at last to a distribution that both share (pooled
 counts mixed with the uniform one), so that an expression which is rare in
 both classes says little.  A text is scored by its length-normalised log-likelihood ratio, of
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, id_crc, table, text_bytes, tune
 
-MAX_TOXIC, MAX_ORDINARY = 4000, 8000
+MAX_TOXIC, MAX_ORDINARY = 3000, 7500
 THRESHOLD = 0.7
-#: Absolute discount of bigram, continuation and document counts: what was seen this seldom in a class is no evidence.
+#: Absolute discount of bigram, continuation and stem counts: what was seen in this few contexts of a class is no evidence.
 DISCOUNT = 3.0
 SHARED = 0.05  # weight of the pooled counts in the shared distribution; the rest is uniform
 MIN_COUNT = 5  # rarer words are known by their stem alone
@@ -48,14 +48,25 @@ class KneserNey:
 
     def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]], size: int, stems: int):
         texts = [t for t in texts if len(t[0])]
-        # A bigram counts once for each document that has it: a text that repeats itself is no more evidence.
-        keys = [np.unique(np.concatenate(([size - 1], words[:-1])) * size + words) for words, _ in texts]
-        self.keys, self.counts = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+        # Bigrams and stems count once for each different left neighbour: copies of a document are no more evidence than one.
+        types = [self._types(size, words) for words, _ in texts]
+        wide = np.unique(np.concatenate(types)) if types else np.zeros(0, np.int64)
+        self.keys, self.counts = np.unique(wide % (size * size), return_counts=True)
+        del types, wide
+        pairs = [np.unique(np.concatenate(([0], s[:-1])).astype(np.int64) * stems + s) for _, s in texts]
+        self.contexts = np.bincount(np.unique(np.concatenate(pairs)) % stems if pairs else np.zeros(0, np.int64), minlength=stems).astype(float)
         before, after = self.keys // size, self.keys % size
         self.total = np.bincount(before, self.counts, size)
         self.held_back = np.bincount(before, np.minimum(self.counts, DISCOUNT), size)
         self.continuations = np.bincount(after, minlength=size).astype(float)
-        self.documents = np.bincount(np.concatenate([np.unique(s) for _, s in texts]) if texts else np.zeros(0, np.int64), minlength=stems).astype(float)
+
+    @staticmethod
+    def _types(size: int, words: np.ndarray) -> np.ndarray:
+        """The text's distinct trigrams as one number each."""
+        w = words.astype(np.int64)
+        prev = np.concatenate(([size - 1], w[:-1]))
+        before = np.concatenate(([size - 1, size - 1], w[:-2]))[: len(w)]
+        return np.unique((before * size + prev) * size + w)
 
     def backoff(self) -> np.ndarray:
         return np.where(self.total > 0, self.held_back / np.maximum(self.total, 1), 1.0)
@@ -76,13 +87,13 @@ class Ratio:
         one, zero = models
         keys = np.union1d(one.keys, zero.keys)
         # What both classes share: how stems are spread, and how a stem's known words are spread.
-        pooled = one.documents + zero.documents
+        pooled = one.contexts + zero.contexts
         shared = SHARED * pooled / max(1.0, pooled.sum()) + (1 - SHARED) / stems
         words = np.bincount(keys % size, minlength=size) + 1.0
         within = words / np.bincount(stem_of, words, stems)[stem_of]
         unigrams, novel = [], []
         for m in models:
-            kept, left = _discounted(m.documents)
+            kept, left = _discounted(m.contexts)
             stem = kept + left * shared
             kept, left = _discounted(m.continuations)
             unigrams.append(kept + left * stem[stem_of] * within)
@@ -106,7 +117,7 @@ class Ratio:
         prev = np.concatenate(([self.size - 1], words[:-1]))
         out = self.context[prev] + np.where(words > 0, self.word[words], self.novel[stems])
         if len(self.keys):
-            keys = prev * self.size + words
+            keys = prev.astype(np.int64) * self.size + words
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             out = np.where(self.keys[at] == keys, self.exact[at], out)
         return out
@@ -150,7 +161,7 @@ class ToxicityModel:
         self.stems = {w: i for i, w in enumerate(sorted(w for w, n in beginnings.items() if n >= MIN_COUNT), 1)}
         del count, beginnings
         size, stems = len(self.vocabulary) + 2, len(self.stems) + 1
-        self.stem_of = np.array([0, *[self.stems.get(w[:STEM], 0) for w in self.vocabulary], 0])
+        self.stem_of = np.array([0, *[self.stems.get(w[:STEM], 0) for w in self.vocabulary], 0], np.int32)
         texts = [self.ids(t) for t, _ in rows]
         pick = lambda y, keep: [t for i, (t, (_, label)) in enumerate(zip(texts, rows, strict=True)) if label == y and keep(i)]
         x = np.zeros((len(rows), 3))
@@ -166,7 +177,7 @@ class ToxicityModel:
     def ids(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Word ids and stem ids of a text."""
         words = _words(text)
-        ids = np.fromiter(map(self.vocabulary.get, words, itertools.repeat(0)), np.int64, len(words))
+        ids = np.fromiter(map(self.vocabulary.get, words, itertools.repeat(0)), np.int32, len(words))
         stems = self.stem_of[ids]
         for i in np.flatnonzero(ids == 0).tolist():
             stems[i] = self.stems.get(words[i][:STEM], 0)
