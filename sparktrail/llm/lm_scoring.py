@@ -10,7 +10,7 @@ start after five boundary symbols and end with one.
 The trie is pretrained and frozen, so a byte's code length is a function of
 its six-gram.  That keeps everything distributed: no model is broadcast.
 
-1. Each input partition is cut into batches of some 24 MB of text.  A batch
+1. Each input partition is cut into batches of some 20 MB of text.  A batch
    keeps its texts and lists its distinct six-grams and words, with their
    training counts, dealt into buckets: a six-gram by its last two context
    bytes, a word by its hash.
@@ -45,7 +45,7 @@ ORDER = 5
 SYMBOLS, BITS = 257, 9
 BOUNDARY = 256
 LONGEST, SHORTER = 0.3, 0.5
-BATCH_BYTES, SLICE_BYTES = 24 << 20, 4 << 20
+BATCH_BYTES, SLICE_BYTES = 20 << 20, 1 << 20
 #: Batches whose lists one task adds up.
 FAN_IN = 256
 WORD_FLAG = np.uint64(1 << 63)
