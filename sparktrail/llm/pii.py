@@ -2,12 +2,15 @@
 
 Base spans (e-mail, IPv4, card and phone patterns with their checks) are
 always reported.  High-recall generators propose further, overlapping
-spans.  Each gets a kind and integer features of its format and context;
-the trees are boosted on the counts of all feature cells of all documents,
-where a candidate is positive if it overlaps a base span of its kind.  Per
-kind the margins are calibrated on the other half of the documents (isotonic
-regression of the positive share); candidates whose calibrated share is at
-least ``PRECISION`` and that overlap no base span are added.
+spans: whole matches, and inside a run of digits all its consecutive digit
+groups with 7 to 19 digits in total.  Each gets a kind and integer features
+of its format and context; the trees are boosted on the counts of all
+feature cells of all documents, where a whole match is positive if it
+overlaps a base span of its kind, and a part of a run if it has just that
+span's digits.  Per kind the margins are calibrated on the other half of the
+documents (isotonic regression of the positive share); of the candidates
+whose calibrated share is at least ``PRECISION`` and that overlap no base
+span, those of the largest margin that do not overlap are added.
 
 Features are small integers, so there are fewer than ``MAX_CELLS`` cells at
 any size of the corpus; their counts are all that comes to the driver, and
@@ -63,6 +66,28 @@ def _spans(found: str, gaps: str) -> Column:
           a -> a.out) END""")
 
 
+#: Digits that a part of a run has, at least and at most.
+PART = (7, 19)
+
+
+def _with_parts(runs: str) -> Column:
+    """The runs of digits and, inside each, every other span of consecutive digit groups with ``PART`` digits in total: array<start, end, v, part>."""
+    low, high = PART
+    return F.expr(f"""
+        flatten(transform({runs}, r -> concat(
+          array(struct(r.start AS start, r.end AS end, r.v AS v, false AS part)),
+          flatten(transform(
+            array(aggregate(
+              zip_with(slice(split(r.v, '[0-9]+', -1), 1, size(regexp_extract_all(r.v, '[0-9]+', 0))), regexp_extract_all(r.v, '[0-9]+', 0), (g, d) -> struct(char_length(g) AS gap, char_length(d) AS n)),
+              struct(0 AS pos, 0 AS digits, CAST(array() AS array<struct<start:int,end:int,before:int,upto:int>>) AS out),
+              (a, x) -> struct(a.pos + x.gap + x.n AS pos, a.digits + x.n AS digits,
+                               concat(a.out, array(struct(a.pos + x.gap AS start, a.pos + x.gap + x.n AS end, a.digits AS before, a.digits + x.n AS upto))) AS out),
+              a -> a.out)),
+            groups -> flatten(transform(groups, (f, i) -> transform(
+              filter(slice(groups, i + 1, {high}), l -> l.upto - f.before BETWEEN {low} AND {high} AND l.end - f.start < char_length(r.v)),
+              l -> struct(r.start + f.start AS start, r.start + l.end AS end, substring(r.v, f.start + 1, l.end - f.start) AS v, true AS part)))))))))""")
+
+
 def _digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
 
@@ -102,7 +127,7 @@ def base_spans(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     # neighbours of the candidates are cut from the text where it is still at hand
     for kind in KINDS[1:]:
         out = out.withColumn(kind, F.filter(kind, _checker(kind)))
-    return out
+    return out.withColumn("number", _with_parts("number"))
 
 
 def _class(c: Column) -> Column:
@@ -135,6 +160,7 @@ def _candidate(s: Column, text: Column, loose: str) -> Column:
         _class(F.substring(left, -1, 1)).alias("before"),
         _class(F.substring(text, s["end"] + 1, F.lit(1))).alias("after"),
         left.rlike(r"(?i)(?:mail|tel|phone|call|fax|card|visa|account|ip|host|contact)[^\p{L}]{0,4}$").cast("int").alias("hint"),
+        (s["part"] if loose == "number" else F.lit(False)).alias("part"),
     )
 
 
@@ -143,7 +169,7 @@ def _describer(loose: str, text: Column):
 
 
 def analyse(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, the base spans per kind, and ``candidates``: spans with kind, features and ``positive`` (overlaps a base span of its kind)."""
+    """``keep``, the base spans per kind, and ``candidates``: spans with kind, features, ``positive`` (overlaps a base span of its kind; a part of a run: has just its digits) and ``known`` (overlaps any base span)."""
     held = "__pii_text"
     # texts without any digit or @ sign have no spans; the others keep their text until the candidates' features are taken
     spans = base_spans(docs.withColumn(held, F.coalesce(F.col(text), F.lit(""))), held, [*keep, held])
@@ -154,10 +180,14 @@ def analyse(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     def overlaps(c: Column, kind: str) -> Column:
         return F.exists(kind, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
 
+    def equals(c: Column, kind: str) -> Column:
+        # a base phone span has its sign before the digits
+        return F.exists(kind, lambda s: (s["start"] + (1 if kind == "phone" else 0) == c["start"]) & (s["end"] == c["end"]))
+
     def positive(c: Column) -> Column:
         out = F.lit(False)
         for i, kind in enumerate(KINDS):
-            out = F.when(c["kind"] == i, overlaps(c, kind)).otherwise(out)
+            out = F.when(c["kind"] == i, F.when(c["part"], equals(c, kind)).otherwise(overlaps(c, kind))).otherwise(out)
         return out
 
     def known(c: Column) -> Column:
@@ -282,9 +312,19 @@ def _ranked(kind_columns: list[tuple[int, Column]]) -> Column:
 
 
 def all_spans(model: PiiModel) -> Column:
-    """Base spans and accepted candidates that overlap no base span, as sorted (start, rank of the kind, end)."""
+    """Base spans and, of the accepted candidates that overlap no base span, those of the largest margin that do not overlap, as sorted (start, rank of the kind, end)."""
     extra = F.filter("candidates", lambda x: ~x["known"] & model.accepted(x["c"]))
-    added = F.transform(extra, lambda x: F.struct(x["c"]["start"].alias("start"), x["c"]["kind"].cast("int").alias("rank"), x["c"]["end"].alias("end")))
+
+    def placed(x: Column) -> Column:
+        c = x["c"]
+        # of equal margins the longer span, then the first, comes first
+        return F.struct((-model.trees.column(c)).alias("order"), (c["start"] - c["end"]).alias("longest"), c["start"].alias("start"), c["kind"].cast("int").alias("rank"), c["end"].alias("end"))
+
+    def choose(won: Column, x: Column) -> Column:
+        taken = F.exists(won, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+        return F.when(taken, won).otherwise(F.concat(won, F.array(F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))))
+
+    added = F.aggregate(F.array_sort(F.transform(extra, placed)), F.array().cast(_SPAN), choose)
     return F.array_sort(F.concat(base_column(), added))
 
 

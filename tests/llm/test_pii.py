@@ -101,3 +101,33 @@ def test_adjacent_cards_are_added(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r["doc_id"]: r["spans"] for r in pii.op5_boosted_pii(spark, str(tmp_path)).collect()}
     assert all(found[i] == "card:5:21" for i in range(400))
+
+
+def test_neighbouring_numbers_are_added(spark, tmp_path):
+    rng = np.random.default_rng(4)
+
+    def card():
+        d = "".join(map(str, rng.integers(1, 10, 15)))
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    def phone():
+        return f"+1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}"
+
+    rows = [(i, f"word {card()} word") for i in range(400)] + [(1000 + i, f"word {card()} {card()} word") for i in range(4)]
+    rows += [(2000 + i, f"word {phone()} word") for i in range(400)] + [(3000 + i, f"word {phone()} 190.137.223.204 word") for i in range(4)]
+    # negatives to learn from: the last digit makes the check fail
+    rows += [(5000 + i, f"word {(c := card())[:-1]}{(int(c[-1]) + 1) % 10} word") for i in range(200)]
+    rows += [(4000, "word 555-6973 word"), (4001, "word 1234567812345678 8765432187654321 word")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["spans"] for r in pii.op5_boosted_pii(spark, str(tmp_path)).collect()}
+    assert all(found[i] == "card:5:21" and found[2000 + i] == "phone:5:22" for i in range(400))
+    assert [found[1000 + i] for i in range(4)] == ["card:5:21,card:22:38"] * 4
+    assert [found[3000 + i] for i in range(4)] == ["phone:6:22,ip:23:38"] * 4
+    assert found[4000] == found[4001] == ""
+
+
+def test_parts_of_a_run(spark):
+    text = "é 123 45-6789 0123456789012 x"
+    candidates = pii.analyse(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["candidates"]
+    got = sorted(text[x["c"]["start"] : x["c"]["end"]] for x in candidates)
+    assert got == sorted(["123 45-6789 0123456789012", "123 45-6789", "45-6789 0123456789012", "6789 0123456789012", "0123456789012"])
