@@ -12,9 +12,11 @@ segments, where positions restart, and which document piece each segment is.
 from __future__ import annotations
 
 import base64
+import io
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tune, written
+from .common import shared_dir, table, tune, written
 from .warc import _file_system
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -191,29 +193,91 @@ def unpack_tokens(packed: DataFrame, row_length: int = ROW_LENGTH) -> DataFrame:
     return whole.select("part", "doc_no", "doc_id", F.flatten(F.col("p.ids")).alias("ids"))
 
 
+#: Columns of a row that go to the index: the others follow from them and the matrix.
+_INDEX = ["part", "row", "cu_seqlens", "position_resets", "doc_nos", "doc_ids", "doc_offsets"]
+
+
 def write_matrices(packed: DataFrame, folder: str, row_length: int = ROW_LENGTH) -> DataFrame:
-    """Write rows as raw matrices ``<name>.ids`` with a ``<name>.json`` of cumulative lengths and resets beside each; returns the manifest of finished files."""
+    """Write rows as raw matrices ``<name>.ids`` with a ``<name>.json`` beside each; returns the manifest of finished files.
+
+    The index has one line per row (cumulative lengths, resets, and where its
+    pieces come from), written as the rows come; the whole file is one JSON
+    object.  Files that a failed task left behind are not in the manifest.
+    """
+    tune(packed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _file_system(folder)
         system.create_dir(path, recursive=True)
-        name, rows, index = f"{path}/{uuid.uuid4().hex}", 0, []
-        with system.open_output_stream(f"{name}.ids", compression=None) as out:
+        name, rows = "", 0
+        with ExitStack() as files:
             for batch in batches:
-                for r in batch.select(["input_ids", "cu_seqlens", "position_resets"]).to_pylist():
-                    out.write(r["input_ids"])
-                    index.append([r["cu_seqlens"], r["position_resets"]])
+                index = zip(*(batch.column(c).to_pylist() for c in _INDEX), strict=True)
+                for ids, (part, row, cu, resets, *pieces) in zip(batch.column("input_ids").to_pylist(), index, strict=True):
+                    if not name:
+                        name = f"{path}/{uuid.uuid4().hex}"
+                        matrix, lines = (files.enter_context(system.open_output_stream(f"{name}.{kind}", compression=None)) for kind in ("ids", "json"))
+                        lines.write(json.dumps({"row_length": row_length, "id_bytes": len(ids) // row_length})[:-1].encode() + b', "segments": [\n')
+                    matrix.write(ids)
+                    lines.write((b",\n" if rows else b"") + json.dumps([cu, resets, *pieces, part, row], separators=(",", ":")).encode())
                     rows += 1
-        with system.open_output_stream(f"{name}.json", compression=None) as out:
-            out.write(json.dumps({"rows": rows, "row_length": row_length, "segments": index}).encode())
-        yield pa.RecordBatch.from_arrays([pa.array([f"{name}.ids"]), pa.array([rows], pa.int64())], names=["path", "rows"])
+            if name:
+                lines.write(b'\n], "rows": %d}\n' % rows)
+        if name:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{name}.ids"]), pa.array([rows], pa.int64())], names=["path", "rows"])
 
     return written(packed.mapInArrow(run, "path string, rows long"), "matrix-manifest")
 
 
+class MatrixError(ValueError):
+    """A matrix and its index or manifest differ."""
+
+
+def read_matrices(manifest: DataFrame, folder: str) -> DataFrame:
+    """The rows of all matrices in ``manifest``, as ``pack_tokens`` made them; one line of the index is held at a time."""
+    tune(manifest.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _file_system(folder)
+
+        def flush(out):
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _PACKED, strict=True)], schema=_PACKED)
+
+        for batch in batches:
+            for name, expected in zip(batch.column("path").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                out, seen = [], 0
+                with system.open_input_stream(name, compression=None) as matrix, system.open_input_stream(f"{name.removesuffix('.ids')}.json", compression=None) as source:
+                    lines = io.BufferedReader(source, 1 << 20)
+                    head = json.loads(lines.readline().rstrip()[:-1] + b"[]}")
+                    width = head["row_length"] * head["id_bytes"]
+                    for line in lines:
+                        if line.startswith(b"]"):
+                            tail = json.loads(b"{" + line.lstrip(b"], "))
+                            break
+                        cu, resets, nos, ids, offsets, part, row = json.loads(line.rstrip(b",\n"))
+                        raw = matrix.read(width)
+                        if len(raw) != width:
+                            raise MatrixError(f"{name}: row {seen} is cut off")
+                        out.append((part, row, cu[-1], raw, cu, resets, nos, ids, offsets))
+                        seen += 1
+                        if len(out) >= 256:
+                            yield flush(out)
+                            out = []
+                    else:
+                        raise MatrixError(f"{name}: the index is cut off")
+                    if seen != expected or tail["rows"] != expected or matrix.read(1):
+                        raise MatrixError(f"{name}: {seen} rows, the manifest has {expected}")
+                if out:
+                    yield flush(out)
+
+    spread = manifest.repartition(max(1, min(10_000, manifest.count())), "path")
+    return spread.mapInArrow(run, PACKED)
+
+
 def op8_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of ``documents`` as rows of 2,048 ids."""
-    return pack_tokens(table(spark, sf_dir, "documents"))
+    """All of ``documents`` as rows of 2,048 ids, into matrices in the shared folder and back."""
+    folder = f"{shared_dir(spark)}/matrices-{uuid.uuid4().hex}"
+    return read_matrices(write_matrices(pack_tokens(table(spark, sf_dir, "documents")), folder), folder)
 
 
 QUERIES = {"op8_packed_tokens": op8_packed_tokens}

@@ -1,5 +1,6 @@
 import base64
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sparktrail.llm import token_output as o
+from sparktrail.llm.common import shared_dir
 
 
 def plain():
@@ -75,3 +77,32 @@ def test_parts_are_encoded_as_the_whole(text):
 
 def test_positions():
     assert o.position_ids(8, [0, 3, 6]).tolist() == [0, 1, 2, 0, 1, 2, 0, 1]
+
+
+def test_query_writes_matrices_and_reads_them_back(spark, tmp_path):
+    rows = [(i if i != 6 else None, (t or "") * 30 if t else t) for i, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    shared = Path(shared_dir(spark))
+    before = set(shared.glob("**/*.ids"))
+    found = o.op8_packed_tokens(spark, str(tmp_path))
+    key = lambda r: str(tuple(r))
+    assert sorted(found.collect(), key=key) == sorted(o.pack_tokens(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect(), key=key)
+    assert found.schema.simpleString() == o.pack_tokens(spark.createDataFrame(rows, "doc_id long, text string")).schema.simpleString()
+    made = set(shared.glob("**/*.ids")) - before
+    assert sum(f.stat().st_size for f in made) == found.count() * 2 * o.ROW_LENGTH
+    sides = [json.load(open(f.with_suffix(".json"))) for f in made]
+    assert sum(s["rows"] for s in sides) == found.count() and all(len(s["segments"]) == s["rows"] for s in sides)
+
+
+def test_cut_matrix_is_found(spark, tmp_path):
+    packed = o.pack_tokens(spark.createDataFrame([(1, "a b c " * 100)], "doc_id long, text string").coalesce(1), row_length=64)
+    manifest = o.write_matrices(packed, str(tmp_path / "m"), 64)
+    path = Path(manifest.first()["path"])
+    path.write_bytes(path.read_bytes()[:-1])
+    with pytest.raises(Exception, match="cut off"):
+        o.read_matrices(manifest, str(tmp_path / "m")).collect()
+
+
+def test_no_rows_no_files(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert o.op8_packed_tokens(spark, str(tmp_path)).count() == 0
