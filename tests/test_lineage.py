@@ -200,3 +200,11 @@ def test_sql_lineage_is_that_of_the_plan(spark, catalog):
     assert bag(one, ["nation_2_n_nationkey"]) == Counter([(r["n_nationkey"],) for r in spark.sql("SELECT n_nationkey FROM nation WHERE n_name = (SELECT first(y) FROM (" + SQL["self_join"].replace("LIMIT 5", "LIMIT 1") + "))").collect()])
     with pytest.raises(Unsupported):
         catalog.plan("SELECT explode(array(1, 2)) AS x FROM nation")
+
+
+def test_attached_scalar_lineage_of_all_output_rows(spark, duck):
+    name = "uncorr_scalar_lineage_attached_all"
+    found = catalogue.queries()[name](spark, SF)
+    assert bag(found, ["out_c_custkey", "c2_c_custkey"]) == Counter(duck.execute(ORACLES[name]).fetchall())
+    result = capture(micro.uncorr_scalar(micro.Tables(spark, SF))).result
+    assert bag(found.select("out_c_custkey").distinct()) == bag(result, ["c_custkey"]) and result.count() > 1
