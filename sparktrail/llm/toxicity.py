@@ -145,8 +145,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 class ToxicityModel:
-    def __init__(self, rows: list[tuple[bytes, int]]):
-        """rows: (text, label); copies with the same label count once. Without rows of both classes every text scores the smoothed share of label 1."""
+    def __init__(self, rows: list[tuple[bytes, int]], log_odds: float = 0.0):
+        """rows: (text, label); copies with the same label count once. ``log_odds``: how much larger the log odds of label 1 are where the rows were drawn. Without rows of both classes every text scores the smoothed share of label 1."""
         rows = list(dict.fromkeys(rows))
         labels = np.array([y for _, y in rows], dtype=float)
         self.prior = (labels.sum() + 1) / (len(rows) + 2)
@@ -172,6 +172,7 @@ class ToxicityModel:
                     x[i] = _features(half.of(*t))
         self.shift, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         self.weights = _logistic(np.column_stack([np.ones(len(x)), (x - self.shift) / self.scale]), labels)
+        self.weights[0] += log_odds
         self.ratio = Ratio(pick(1, lambda i: True), pick(0, lambda i: True), size, self.stem_of, stems)
 
     def ids(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -196,14 +197,19 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_or
 
     Null labels and null ids teach nothing; an id with several labels counts
     as its largest.  Texts are streamed to the driver, the counts alone stay.
+    Where a class is larger than its part of the sample, the intercept is
+    corrected to the odds of all labels.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("mark"))
     marks = marks.where(id_crc("id") % 3 != 1).where("mark in (0, 1)")
+    labelled = {r["mark"]: r["n"] for r in marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # what one drawn label stands for, in either class
+    stands = [labelled.get(y, 0) / max(1, min(labelled.get(y, 0), n)) for y, n in ((1, max_toxic), (0, max_ordinary))]
     drawn = [marks.where(F.col("mark") == y).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n) for y, n in ((1, max_toxic), (0, max_ordinary))]
     sample = drawn[0].unionAll(drawn[1])
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("id", "text", "mark")
     found = sorted((r["id"], r["text"].encode(), r["mark"]) for r in rows.toLocalIterator())
-    return ToxicityModel([(t, y) for _, t, y in found])
+    return ToxicityModel([(t, y) for _, t, y in found], float(np.log(stands[0] / stands[1])) if all(stands) else 0.0)
 
 
 def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:

@@ -61,3 +61,14 @@ def test_edge_texts():
     for text in (b"", b"nasty3", b"w1 " * 20000, "é  ñ".encode(), b"..."):
         assert 0 <= model.score(text) <= 1
     assert model.score(b"nasty99 w1") > 0.7 > model.score(b"w1 w2 w3")
+
+
+def test_bounded_sample_keeps_the_odds_of_all_labels(spark):
+    # texts that say nothing of their label: the score is the share of label 1, however much of each class was drawn
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 50, 40)), int(i % 4 == 0)) for i in range(1500)]
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    for toxic, ordinary in ((150, 150), (50, 200), (3000, 7500)):
+        model = t.train(docs, labels, toxic, ordinary)
+        assert 0.15 < np.mean([model.score(x.encode()) for _, x, _ in rows[:300]]) < 0.36
