@@ -29,8 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Before Python runs on executors: they get this package, and Arrow batches hold at most 1,000 rows (texts may be long, so rows bound the bytes a worker holds)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Before Python runs on executors: they get this package, and an Arrow batch holds at most 1,000 rows and 8 MB of them (one row may be larger).
+
+    The two settings stay with the session, as results are lazy and run after the caller has them; a smaller limit that is set already stays.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key, None)
+        if now is None or not 0 < int(str(now).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
     context = spark.sparkContext
     if _shipped.get("to") != context.applicationId:
         package = Path(__file__).resolve().parents[1]
@@ -43,9 +49,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder every executor sees: ``spark.checkpoint.dir``. Where that is unset a temporary one is set for a local session; on a cluster, whose executors would each write to their own disk, that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sparktrail-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,7 +64,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_sparktrail_folder"] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of ``written`` frames that nothing will read any more: all that was made of them is itself written.
+
+    Shuffle files of finished jobs go when the driver's JVM finds their plans
+    unreachable, so it is asked to look; else they pile up on the executors
+    until the driver's heap happens to be full.
+    """
+    for df in frames:
+        folder = df.__dict__.pop("_sparktrail_folder", None)
+        if folder:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
 
 
 def id_crc(col: Column | str) -> Column:

@@ -13,35 +13,39 @@ In a band's bucket every member is compared with at most 64 pivots (members
 that are not very close to a pivot become pivots while there is room) and
 paired with the best; of a member's pairs in all bands the best one is
 confirmed, so there is at most one pair per document.
-Buckets of more than ``HOT`` members are split by salt and their pivots
-compared in a second pass.  Afterwards the members of a bucket that are
+Buckets of more than ``HOT`` members are split by salt and the parts' pivots
+compared in the same way, in as many passes as it takes.  Afterwards the members of a bucket that are
 still in different components are compared with each other, each pair in the
 first band that both share, best estimates first, until no unconfirmed pair
-is left, so no link that decides a component is lost.
+is left, so of the pairs that bands and estimates let through no link that
+decides a component is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix64, table, text_bytes, tune, written
+from .common import LOWER, discard, mix64, table, text_bytes, tune, written
 
 SHINGLE = 5
 HASHES, BANDS, ROWS, BITS = 768, 32, 4, 2
 SIMILARITY = 75  # per cent
-#: Estimates below this are not confirmed: 3.9 standard deviations (0.0188 at similarity 0.75) under 0.75.
-ESTIMATE = 0.677
+#: Estimates below this are not confirmed: 4.3 standard deviations (0.0188 at similarity 0.75) under 0.75, which loses one
+#: in 100,000 pairs of exactly that similarity and far fewer above it; bands miss 5 in a million of such pairs.
+ESTIMATE = 0.669
 #: Pivots of a bucket; a member whose best estimate is under CLOSE becomes one while there is room.
 PIVOTS, CLOSE = 64, 0.85
-HOT = 50_000
-#: Pairs between components that are confirmed in one task.
-TOGETHER = 20_000
+#: Members of a bucket's part in the search for pivots, and in the pass between components.
+HOT, VISITED = 512, 16_384
+#: Pairs between components that are confirmed in one task, and bytes of the sets that it holds.
+TOGETHER, SETS = 20_000, 64 << 20
 #: Links that one task contracts in memory; more are contracted by star rounds on the cluster first.
 LOCAL_LINKS = 1_000_000
 #: Bytes of text whose arrays are built at once.
@@ -373,66 +377,92 @@ def _sorted_buckets(rows: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signatures of all rows, classes (key, rep), components (id, comp) of linked class representatives)."""
+    """(doc_id, key and n_shingles of all rows, classes (key, rep), components (id, comp) of linked class representatives).
+
+    Joins whose sides both grow with the table are sort-merge joins at every
+    size; what is dealt by band key and joined with components are ids, and
+    signatures follow only where they are compared.  Folders are deleted as
+    soon as what was made of them is written.
+    """
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(docs.mapInArrow(_sign, SIGNATURE), "signatures")
+    sizes = written(signed.select("doc_id", "key", "n_shingles"), "sizes")
     ids = signed.where("doc_id is not null and key is not null")
-    classes = written(ids.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("m")).select("key", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), "m.sig", "m.bands"), "classes")
+    # equal keys mean equal words, so any row of a class has its signature
+    classes = written(ids.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+    discard(signed)
+    reps = written(classes.select("key", F.col("id").alias("rep")), "representatives")
 
-    # Only ids are dealt by band key; sizes and signatures follow for the keys that two or more share.
-    rows = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
+    rows = classes.select(F.explode("bands").alias("bucket"), "id")
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    members = rows.join(shared, "bucket").join(classes.select(F.col("rep").alias("id"), "n", "sig"), "id")
-    salt = F.when(F.col("k") > HOT, F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / HOT)).cast("int")).otherwise(-1)
-    members = written(members.select("bucket", salt.alias("salt"), "id", "n", "sig"), "members")
-    found = written(_sorted_buckets(members).mapInArrow(_stars, STAR), "stars")
-    pairs = found.where("kind = 0").select("a", "b", "near")
-    second = found.where("kind = 1").select("bucket", F.lit(-1).alias("salt"), F.col("a").alias("id"), "n", "sig")
-    if not second.isEmpty():
-        pairs = pairs.unionAll(_sorted_buckets(second).mapInArrow(_stars, STAR).where("kind = 0").select("a", "b", "near"))
+    members = written(rows.join(shared.hint("merge"), "bucket"), "members")
+    sets = written(_shingle_sets(docs, members.select("id")), "sets")
+
+    pairs, level = [], members.join(classes.select("id", "n", "sig").hint("merge"), "id")
+    room = HOT
+    while True:  # the pivots of a hot bucket's parts are compared in the same way, in larger parts, so passes end
+        found = written(_sorted_buckets(level.withColumn("salt", _salt(room))).mapInArrow(_stars, STAR), "stars")
+        room *= 4
+        pairs.append(found.where("kind = 0").select("a", "b", "near"))
+        pivots = found.where("kind = 1").select("bucket", F.col("a").alias("id"), "n", "sig")
+        if pivots.isEmpty():
+            break
+        level = pivots.join(pivots.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).hint("merge"), "bucket")
     # over all bands, one pair for each member: that with its best pivot
-    pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("near", -F.col("a"))).alias("a")).select("a", "b")
+    best = reduce(DataFrame.unionAll, pairs).groupBy("b").agg(F.max_by("a", F.struct("near", -F.col("a"))).alias("a")).select("a", "b")
 
-    checked = confirm(docs, pairs)
+    checked = confirm(sets, best)
     start = comps = components(checked.where("link").select("a", "b"))
+    discard(found)
     for first, last in ((0, 64), (64, None)):
         rest = written(_unresolved(members, classes, start, comps, first, last), "rest")
-        fresh = rest.where("a >= 0").groupBy("a", "b").agg(F.min("bucket").alias("bucket"), F.max("w").alias("w")).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = rest.where("a >= 0").groupBy("a", "b").agg(F.min("bucket").alias("bucket"), F.max("w").alias("w")).join(checked.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
         fresh = written(fresh, "fresh")
         if not fresh.isEmpty():
-            new = confirm_together(docs, fresh)
+            new = confirm_together(sets, fresh)
             checked = checked.unionAll(new)
             if not new.where("link").isEmpty():
                 comps = components(checked.where("link").select("a", "b"))
-        if rest.where("a < 0").isEmpty():
+        done = rest.where("a < 0").isEmpty()
+        discard(rest, fresh)
+        if done:
             break
-    return signed, classes.select("key", "rep"), comps
+    discard(sets, members, classes)
+    return sizes, reps, comps
+
+
+def _shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The full shingle sets (id, grams) of the documents that share a bucket with another."""
+    ids = ids.select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, grams binary")
+
+
+def _salt(room: int) -> Column:
+    """The part of a bucket of ``k`` members that an id is in; -1 where the bucket is whole."""
+    return F.when(F.col("k") > room, F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / room)).cast("int")).otherwise(-1)
 
 
 def _unresolved(members: DataFrame, classes: DataFrame, start: DataFrame, comps: DataFrame, first: int, last: int | None) -> DataFrame:
-    """Candidate pairs between components that share a bucket. Members outside a bucket's largest component visit every salt of the bucket."""
-    rows = members.drop("salt").join(start.withColumnRenamed("comp", "start"), "id", "left").withColumn("start", F.coalesce("start", "id"))
+    """Candidate pairs between components that share a bucket. Members outside a bucket's largest component visit every part of the bucket."""
+    rows = members.select("bucket", "id").join(start.withColumnRenamed("comp", "start").hint("merge"), "id", "left").withColumn("start", F.coalesce("start", "id"))
     sizes = rows.groupBy("bucket", "start").agg(F.count(F.lit(1)).alias("k"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("start", F.struct("k", "start")).alias("largest"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = mixed.select("bucket", "largest", F.ceil(F.col("k") / HOT).cast("int").alias("salts"))
-    rows = rows.join(mixed, "bucket").withColumn("minor", F.col("start") != F.col("largest")).withColumn("home", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    rows = rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    rows = rows.join(classes.select(F.col("rep").alias("id"), "bands"), "id").withColumn("band", F.array_position("bands", F.col("bucket")).cast("int") - 1)
+    mixed = mixed.select("bucket", "largest", F.ceil(F.col("k") / VISITED).cast("int").alias("salts"))
+    rows = rows.join(mixed.hint("merge"), "bucket").withColumn("minor", F.col("start") != F.col("largest")).withColumn("home", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    rows = rows.join(comps.hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    rows = rows.join(classes.select("id", "n", "sig", "bands").hint("merge"), "id").withColumn("band", F.array_position("bands", F.col("bucket")).cast("int") - 1)
     placed = rows.withColumn("salt", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("home"))))
     placed = placed.select("bucket", "salt", "id", "n", "sig", "start", "comp", "minor", (F.col("salt") == F.col("home")).alias("main"), "bands", "band")
     return _sorted_buckets(placed).mapInArrow(_rest(first, last), PAIR)
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Decide each pair (a, b) of document ids on the full shingle sets of the two texts: (a, b, link)."""
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    sets = written(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, grams binary"), "sets")
+def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Decide each pair (a, b) of ids on their full shingle sets: (a, b, link)."""
     one = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    checked = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long, link boolean")
-    return written(checked, "checked")
+    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y")
+    return written(both.mapInArrow(_confirm, "a long, b long, link boolean").groupBy("a", "b").agg(F.max("link").alias("link")), "checked")
 
 
 def _confirm_group(pairs: pa.Table, sets: pa.Table) -> pa.Table:
@@ -445,25 +475,26 @@ def _confirm_group(pairs: pa.Table, sets: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([a, b, pa.chunked_array([pa.array(keep, pa.bool_())])], names=["a", "b", "link"])
 
 
-def confirm_together(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirm_together(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """As ``confirm``, for pairs (a, b, bucket, w) of which many share documents: w is the size of both sets.
 
     Pairs of one bucket go to the same part (a large bucket's in chunks by
     their smaller id), and a part gets each set once.  The number of parts
     follows from the number of pairs and the sizes of their sets, so a part
-    holds about ``TOGETHER`` pairs or 64 MB of sets.
+    holds about ``TOGETHER`` pairs or ``SETS`` bytes of sets.
     """
     sizes = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("w").alias("s"))
     total = sizes.agg(F.sum("k").alias("k"), F.sum("s").alias("s")).first()
-    parts = max(1, -(-total["k"] // TOGETHER), -(-total["s"] * 8 // (256 << 20)))
-    chunks = F.greatest(F.ceil(F.col("k") / TOGETHER), F.ceil(F.col("s") * 8 / (256 << 20)))
-    dealt = pairs.join(sizes, "bucket").select("a", "b", F.pmod(F.xxhash64("bucket", F.pmod(F.xxhash64("a"), chunks)), F.lit(parts)).cast("int").alias("part"))
+    parts = max(1, -(-total["k"] // TOGETHER), -(-total["s"] * 8 // SETS))
+    chunks = F.greatest(F.ceil(F.col("k") / TOGETHER), F.ceil(F.col("s") * 8 / SETS))
+    dealt = pairs.join(sizes.hint("merge"), "bucket").select("a", "b", F.pmod(F.xxhash64("bucket", F.pmod(F.xxhash64("a"), chunks)), F.lit(parts)).cast("int").alias("part"))
     dealt = written(dealt, "dealt")
     place = F.col("part").alias("place")
     needed = dealt.select(place, F.col("a").alias("id")).unionAll(dealt.select(place, F.col("b").alias("id"))).distinct()
-    sets = docs.join(needed.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, grams binary")
-    shipped = needed.join(sets, "id")
-    return written(dealt.groupBy("part").cogroup(shipped.groupBy("place")).applyInArrow(_confirm_group, "a long, b long, link boolean"), "checked")
+    shipped = needed.join(sets.hint("merge"), "id")
+    out = written(dealt.groupBy("part").cogroup(shipped.groupBy("place")).applyInArrow(_confirm_group, "a long, b long, link boolean"), "checked")
+    discard(dealt)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -474,8 +505,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null.  Repeated rows are the same node.  An empty table gives no rows.
     Only doc_id and text are read.
     """
-    signed, classes, comps = link_documents(docs)
-    out = signed.select("doc_id", "key", "n_shingles").join(classes, "key", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    sizes, reps, comps = link_documents(docs)
+    out = sizes.join(reps.hint("merge"), "key", "left").join(comps.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
@@ -484,19 +515,24 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, that of the smallest doc_id, with all columns of ``docs``.
 
     Rows without an id stay.  Where the smallest id's row is itself repeated,
-    one of the repeats stays (repeated rows without words are no
-    near-duplicates and all stay).
+    one of the repeats stays, of different ones that whose columns, written
+    as JSON, come first (repeated rows without words are no near-duplicates
+    and all stay).  An empty table gives no rows.
     """
     result = written(near_duplicates(docs), "near-duplicates")
     key = "__near_duplicate_id"
     kept = result.where("kept").groupBy(F.col("doc_id").alias(key)).agg(F.sum(F.when(F.col("n_shingles") > 0, 1).otherwise(0)).alias("__near_duplicate_n"))
     kept = written(kept, "kept")
+    discard(result)
     on = docs["doc_id"] == F.col(key)
-    once = docs.join(kept.where("__near_duplicate_n < 2"), on, "left_semi").unionAll(docs.where(docs["doc_id"].isNull()))
+    once = docs.join(kept.where("__near_duplicate_n < 2").hint("merge"), on, "left_semi").unionAll(docs.where(docs["doc_id"].isNull()))
     again = kept.where("__near_duplicate_n > 1")
     if again.isEmpty():
         return once
-    return once.unionAll(docs.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"]))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = docs.join(again.hint("merge"), on, "left_semi").select(F.col("doc_id").alias(key), F.col("text").alias("__near_duplicate_text"), row.alias("__near_duplicate_row"))
+    first = repeated.groupBy(key, "__near_duplicate_text").agg(F.min_by("__near_duplicate_row", F.to_json("__near_duplicate_row")).alias("__near_duplicate_row"))
+    return once.unionAll(first.select(*[F.col("__near_duplicate_row")[c].alias(c) for c in docs.columns]))
 
 
 def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
