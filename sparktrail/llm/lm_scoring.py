@@ -10,16 +10,22 @@ start after five boundary symbols and end with one.
 The trie is pretrained and frozen, so a byte's code length is a function of
 its six-gram.  That keeps everything distributed: no model is broadcast.
 
-1. Each input partition is cut into batches of some 20 MB of text.  A batch
-   keeps its texts and lists its distinct six-grams and words, with their
-   training counts, dealt into buckets: a six-gram by its last two context
-   bytes, a word by its hash.
-2. A bucket adds up the counts of all batches (in two levels when there are
-   many) and then holds all of the trie under its two-byte contexts: it
-   derives the counts of the shorter contexts and each six-gram's code
-   length.  Orders one and zero come from a table of 257 x 257 counts.
-3. Each batch gets back the values of just the keys it listed, and scores
-   its texts with them.
+1. Texts are dealt, in pieces of some megabytes that end between words, into
+   batches of some 8 MB.  A batch keeps its pieces and lists its distinct
+   six-grams and words, with their training counts, by buckets: a six-gram by
+   its last three context bytes, a word by its hash.  There is a bucket for
+   every ``BUCKET_BYTES`` of text.
+2. A bucket adds up the counts of all batches.  It then holds all of the trie
+   under its three-byte contexts, at most 257^3 six-grams under each.  The
+   counts of two-byte contexts are summed over all buckets (at most 257 for
+   each of 257^2 contexts) and those that a bucket needs are joined to it.
+   Orders one and zero come from a table of 257 x 257 counts.  With these each
+   six-gram's code length is fixed.
+3. The lists stream past their bucket's code lengths, and each batch gets
+   back the values of just the keys it listed, and scores its pieces with
+   them.  A bucket whose lists are larger than ``PART_BYTES`` is split, and
+   only its code lengths are repeated for each part, so what is shuffled
+   stays in proportion to the input.
 
 Words and their counts (for the unigram baseline) travel the same way, as
 63-bit hashes.
@@ -28,26 +34,30 @@ Words and their counts (for the unigram baseline) travel the same way, as
 from __future__ import annotations
 
 import io
+import re
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, id_crc, mix64, table, text_bytes, tune, written
+from .common import LOWER, discard, id_crc, mix64, table, text_bytes, tune, written
 from .minhash import word_hashes
 
 ORDER = 5
 SYMBOLS, BITS = 257, 9
 BOUNDARY = 256
 LONGEST, SHORTER = 0.3, 0.5
-BATCH_BYTES, SLICE_BYTES = 20 << 20, 1 << 20
-#: Batches whose lists one task adds up.
-FAN_IN = 256
+BATCH_BYTES, SLICE_BYTES, PIECE_BYTES = 8 << 20, 1 << 20, 2 << 20
+#: Text for each bucket, and bytes of lists that one task adds up or answers.
+BUCKET_BYTES, PART_BYTES = 32 << 20, 64 << 20
+#: Listed keys that are merged at once, and lists that are always added up in one task.
+MERGED, FAN_IN = 1 << 20, 16
 WORD_FLAG = np.uint64(1 << 63)
 END = np.uint64(2**64 - 1)
 
@@ -56,34 +66,58 @@ def _mask(order: int) -> np.uint64:
     return np.uint64((1 << (BITS * (order + 1))) - 1)
 
 
-def grams(texts: list[bytes]) -> np.ndarray:
-    """The packed six-gram of every byte and of the end of each text, text after text."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.cumsum(sizes + ORDER + 1) - sizes - 1  # place of each text's first byte
-    symbols = np.full(int((sizes + ORDER + 1).sum()), BOUNDARY, np.uint64)
-    data = np.frombuffer(b"".join(texts).translate(LOWER), np.uint8)
-    shift = starts - (np.cumsum(sizes) - sizes)
-    symbols[np.arange(len(data)) + np.repeat(shift, sizes)] = data
-    out = np.zeros(len(symbols) - ORDER if len(symbols) else 0, np.uint64)
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+class Piece(NamedTuple):
+    """Part of a text that ends between words: the bytes, up to five bytes before them, and whether the text ends here."""
+
+    text: bytes
+    head: bytes = b""
+    last: bool = True
+
+
+def pieces_of(text: bytes) -> Iterator[Piece]:
+    """The text in pieces of about ``PIECE_BYTES``; only a word that is longer makes a piece longer."""
+    at = 0
+    while len(text) - at > PIECE_BYTES:
+        gap = SPACE.search(text, at + PIECE_BYTES)
+        if not gap:
+            break
+        yield Piece(text[at : gap.end()], text[max(0, at - ORDER) : at], False)
+        at = gap.end()
+    yield Piece(text[at:], text[max(0, at - ORDER) : at])
+
+
+def grams(pieces: list[Piece]) -> np.ndarray:
+    """The packed six-gram of every byte and of the end of each text, piece after piece."""
+    sizes = np.array([len(p.text) for p in pieces], np.int64)
+    blocks = sizes + ORDER + np.array([p.last for p in pieces], np.int64)
+    begin = np.cumsum(blocks) - blocks
+    symbols = np.full(int(blocks.sum()), BOUNDARY, np.uint64)
+    data = np.frombuffer(b"".join(p.text for p in pieces).translate(LOWER), np.uint8)
+    symbols[np.arange(len(data)) + np.repeat(begin + ORDER - (np.cumsum(sizes) - sizes), sizes)] = data
+    for at, p in zip(begin.tolist(), pieces, strict=True):
+        if p.head:
+            symbols[at + ORDER - len(p.head) : at + ORDER] = np.frombuffer(p.head.translate(LOWER), np.uint8)
+    out = np.zeros(max(0, len(symbols) - ORDER), np.uint64)
     for j in range(ORDER + 1):
         out |= symbols[j : len(symbols) - ORDER + j] << np.uint64(BITS * (ORDER - j))
-    ends = starts + sizes - ORDER
     keep = np.ones(len(out), bool)
-    for pad in range(1, ORDER + 1):  # the boundaries before the next text are not predicted
-        at = ends + pad
-        keep[at[at < len(out)]] = False
+    for k in range(ORDER):  # what stands before a piece is not predicted
+        keep[begin[1:] + k - ORDER] = False
     return out[keep]
 
 
-def _slices(texts: list[bytes]) -> Iterator[slice]:
+def _slices(pieces: list[Piece]) -> Iterator[slice]:
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > SLICE_BYTES:
+    for i, p in enumerate(pieces):
+        if i > start and size + len(p.text) > SLICE_BYTES:
             yield slice(start, i)
             start, size = i, 0
-        size += len(t)
-    if texts:
-        yield slice(start, len(texts))
+        size += len(p.text)
+    if pieces:
+        yield slice(start, len(pieces))
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,52 +136,73 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return every[first], np.add.reduceat(weight[order], first) if len(first) else np.zeros(0, np.int64)
 
 
-def text_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Six-grams of all texts, word keys with an end token after each text, and the number of words of each text."""
-    words, first = word_hashes(texts)
+class Sum:
+    """Sorted keys and summed counts of lists that come one by one; no more than ``MERGED`` listed keys wait to be merged."""
+
+    def __init__(self):
+        self.keys, self.counts, self.waiting = [], [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.waiting += len(keys)
+        if self.waiting > max(MERGED, len(self.keys[0])):
+            keys, counts = self.result()
+            self.keys, self.counts, self.waiting = [keys], [counts], 0
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        return merged(self.keys, self.counts)
+
+
+def text_keys(pieces: list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Six-grams of all pieces, word keys with an end token after each text, and the number of tokens of each piece."""
+    words, first = word_hashes([p.text for p in pieces])
+    ends = np.array([p.last for p in pieces], np.int64)
     n = np.diff(first)
-    tokens = np.full(len(words) + len(texts), END, np.uint64)
-    tokens[np.arange(len(words)) + np.repeat(np.arange(len(texts)), n)] = words | WORD_FLAG
-    return grams(texts), tokens, n
+    tokens = np.full(len(words) + int(ends.sum()), END, np.uint64)
+    tokens[np.arange(len(words)) + np.repeat(np.cumsum(ends) - ends, n)] = words | WORD_FLAG
+    return grams(pieces), tokens, n + ends
 
 
-def batch_keys(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def batch_keys(pieces: list[Piece], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of a batch with their counts in its training texts."""
-    keys, counts = [], []
-    for part in _slices(texts):
+    total = Sum()
+    for part in _slices(pieces):
         chosen = train[part]
-        g, w, n = text_keys(texts[part])
-        sizes = np.array([len(t) + 1 for t in texts[part]])
-        for values, flags in ((g, np.repeat(chosen, sizes)), (w, np.repeat(chosen, n + 1))):
+        g, w, n = text_keys(pieces[part])
+        sizes = np.array([len(p.text) + p.last for p in pieces[part]])
+        for values, flags in ((g, np.repeat(chosen, sizes)), (w, np.repeat(chosen, n))):
             for flag in (True, False):
                 k, c = _counted(values[flags == flag])
-                keys.append(k)
-                counts.append(c.astype(np.int64) if flag else np.zeros(len(k), np.int64))
-    return merged(keys, counts)
+                total.add(k, c.astype(np.int64) if flag else np.zeros(len(k), np.int64))
+    return total.result()
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    context = (keys >> np.uint64(BITS)) & np.uint64((1 << 2 * BITS) - 1)
+    context = (keys >> np.uint64(BITS)) & np.uint64((1 << 3 * BITS) - 1)
     return (mix64(np.where(keys >= WORD_FLAG, keys, context)) % np.uint64(buckets)).astype(np.int64)
 
 
+_packer, _unpacker = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(keys: np.ndarray) -> bytes:
     """Sorted keys as compressed differences, byte plane after byte plane."""
     planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return _packer.compress(planes.tobytes())
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(_unpacker.decompress(blob), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _squeeze(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+    return _packer.compress(values.tobytes())
 
 
 def _values(blob: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+    return np.frombuffer(_unpacker.decompress(blob), kind)
 
 
 def _find(table_keys: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -169,12 +224,14 @@ class _Level:
         self.kinds = np.diff(np.append(self.first, len(keys)))
 
 
-def code_lengths(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def code_lengths(keys: np.ndarray, counts: np.ndarray, triples: tuple[np.ndarray, np.ndarray], pairs: np.ndarray) -> np.ndarray:
     """log10 probability of each six-gram's last symbol.
 
-    ``keys``: all six-grams whose last two context bytes are in this bucket,
-    counts 0 where no training text has them.  ``pairs``: 257 x 257 counts
-    of the order-one trie, of the whole training corpus.
+    ``keys``: all six-grams whose last three context bytes are in this
+    bucket, counts 0 where no training text has them.  ``triples``: the
+    order-two trie under the keys' last two context bytes, as sorted keys and
+    counts, and ``pairs``: 257 x 257 counts of the order-one trie, both of
+    the whole training corpus.
     """
     log = np.zeros(len(keys))
     open_ = np.ones(len(keys), bool)
@@ -182,8 +239,10 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.
     above: _Level | None = None
     order_one = np.flatnonzero(pairs.ravel())
     for order in range(ORDER, -1, -1):
-        if order >= 2:
+        if order >= 3:
             level = _Level(*merged([keys[known] & _mask(order)], [counts[known]]))
+        elif order == 2:
+            level = _Level(*triples)
         elif order == 1:
             level = _Level(((order_one // SYMBOLS << BITS) | order_one % SYMBOLS).astype(np.uint64), pairs.ravel()[order_one])
         else:
@@ -211,101 +270,143 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.
     return log
 
 
-LISTED = "kind int, batch string, bucket int, n long, one binary, two binary, pairs array<int>, times array<long>"
-_LISTED = pa.schema([("kind", pa.int32()), ("batch", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("one", pa.binary()), ("two", pa.binary()), ("pairs", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
+LISTED = "kind int, batch string, bucket int, n long, one binary, two binary"
+_LISTED = pa.schema([("kind", pa.int32()), ("batch", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("one", pa.binary()), ("two", pa.binary())])
+_STORED = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("text", pa.binary()), ("head", pa.binary()), ("last", pa.bool_())])
+
+
+def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def _list(buckets: int):
-    """Kind 0: the texts of a batch. Kind 1: keys and counts of a batch in a bucket. Kind 2: its order-one counts."""
+    """Kind 0: the pieces of a batch. Kind 1: keys and counts of a batch in a bucket."""
 
-    def finish(ids, train, texts):
+    def finish(rows):
         name = uuid.uuid4().hex
         sink = io.BytesIO()
-        stored = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(train, pa.bool_()), pa.array(texts, pa.binary())], names=["doc_id", "train", "text"])
-        with pa.ipc.new_stream(sink, stored.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_batch(stored)
-        keys, counts = batch_keys(texts, np.array(train, bool))
-        here = (keys < WORD_FLAG) & (counts > 0)
-        two, times = merged([keys[here] & _mask(1)], [counts[here]])
-        flat = ((two >> np.uint64(BITS)) * np.uint64(SYMBOLS) + (two & np.uint64((1 << BITS) - 1))).astype(np.int32)
-        rows = [(0, name, -1, len(texts), sink.getvalue(), None, None, None), (2, name, -1, len(two), None, None, flat, times)]
+        with pa.ipc.new_stream(sink, _STORED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(_batch(_STORED, [(row, i, t, p.text, p.head, p.last) for row, i, t, p in rows]))
+        keys, counts = batch_keys([p for *_, p in rows], np.array([t for _, _, t, _ in rows], bool))
+        yield _batch(_LISTED, [(0, name, -1, len(rows), sink.getvalue(), None)])
         bucket = bucket_of(keys, buckets)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        out = []
         for b in np.flatnonzero(np.diff(cut)).tolist():
             at = order[cut[b] : cut[b + 1]]
-            rows.append((1, name, b, len(at), _pack(keys[at]), _squeeze(counts[at]), None, None))
-        for start in range(0, len(rows), 64):
-            cols = zip(*rows[start : start + 64], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, _LISTED, strict=True)], schema=_LISTED)
+            out.append((1, name, b, len(at), _pack(keys[at]), _squeeze(counts[at])))
+            if len(out) == 64:
+                yield _batch(_LISTED, out)
+                out = []
+        if out:
+            yield _batch(_LISTED, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, train, texts, size = [], [], [], 0
+        task, number, rows, size = uuid.uuid4().hex, 0, [], 0
         for batch in batches:
             for i, t, x in zip(batch.column("doc_id").to_pylist(), batch.column("train").to_pylist(), text_bytes(batch.column("text")), strict=True):
-                ids.append(i)
-                train.append(t)
-                texts.append(x)
-                size += len(x)
-                if size >= BATCH_BYTES:
-                    yield from finish(ids, train, texts)
-                    ids, train, texts, size = [], [], [], 0
-        if texts:
-            yield from finish(ids, train, texts)
+                number += 1
+                for piece in pieces_of(x):
+                    rows.append((f"{task}:{number}", i, bool(t), piece))
+                    size += len(piece.text)
+                    if size >= BATCH_BYTES:
+                        yield from finish(rows)
+                        rows, size = [], 0
+        if rows:
+            yield from finish(rows)
 
     return run
 
 
-def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
-    return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
-
-_SUMS = pa.schema([("bucket", pa.int32()), ("one", pa.binary()), ("two", pa.binary())])
-_TOTALS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())])
+LISTS = "bucket int, one binary, two binary"
+_LISTS = pa.schema([("bucket", pa.int32()), ("one", pa.binary()), ("two", pa.binary())])
+TOTALS = "bucket int, one binary, two binary, tokens long, kinds long"
+_TOTALS = pa.schema([*_LISTS, ("tokens", pa.int64()), ("kinds", pa.int64())])
+TRIPLES = "bucket int, triple int, n long"
 _ANSWERS = pa.schema([("batch", pa.string()), ("bucket", pa.int32()), ("values", pa.binary()), ("counts", pa.binary())])
 
 
 def _added(group: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
-    keys, counts = merged([_unpack(x) for x in group.column("one").to_pylist()], [_values(x, np.int64) for x in group.column("two").to_pylist()])
-    return group.column("bucket")[0].as_py(), keys, counts
+    total = Sum()
+    for one, two in zip(group.column("one"), group.column("two"), strict=True):
+        total.add(_unpack(one.as_py()), _values(two.as_py(), np.int64))
+    return group.column("bucket")[0].as_py(), *total.result()
 
 
 def _add(group: pa.Table) -> pa.Table:
     bucket, keys, counts = _added(group)
-    return _table(_SUMS, [(bucket, _pack(keys), _squeeze(counts))])
+    return _table(_LISTS, [(bucket, _pack(keys), _squeeze(counts))])
 
 
-def _total(pairs: np.ndarray):
-    def run(group: pa.Table) -> pa.Table:
-        bucket, keys, counts = _added(group)
-        split = int(np.searchsorted(keys, WORD_FLAG))
-        values = code_lengths(keys[:split], counts[:split], pairs).astype(np.float32)
-        words = counts[split:]
-        return _table(_TOTALS, [(bucket, _pack(keys), _squeeze(values), _squeeze(words), int(words.sum()), int((words > 0).sum()))])
+def _total(group: pa.Table) -> pa.Table:
+    bucket, keys, counts = _added(group)
+    words = counts[int(np.searchsorted(keys, WORD_FLAG)) :]
+    return _table(_TOTALS, [(bucket, _pack(keys), _squeeze(counts), int(words.sum()), int((words > 0).sum()))])
+
+
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The order-two counts of each bucket's six-grams, 0 where no training text has them."""
+    for batch in batches:
+        for b, one, two in zip(batch.column("bucket").to_pylist(), batch.column("one"), batch.column("two"), strict=True):
+            keys, counts = _unpack(one.as_py()), _values(two.as_py(), np.int64)
+            split = int(np.searchsorted(keys, WORD_FLAG))
+            triples, n = merged([keys[:split] & _mask(2)], [counts[:split]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), b, np.int32)), pa.array(triples.astype(np.int32)), pa.array(n)], names=["bucket", "triple", "n"])
+
+
+def _code(pairs: np.ndarray):
+    def run(totals: pa.Table, contexts: pa.Table) -> pa.Table:
+        """Code lengths in place of a bucket's six-gram counts; the words' counts stay."""
+        rows = []
+        if totals.num_rows:
+            keys, counts = _unpack(totals.column("one")[0].as_py()), _values(totals.column("two")[0].as_py(), np.int64)
+            split = int(np.searchsorted(keys, WORD_FLAG))
+            under = contexts.column("under").combine_chunks().flatten()
+            triples = merged([under.field("triple").to_numpy(zero_copy_only=False).astype(np.uint64)], [under.field("n").to_numpy(zero_copy_only=False).astype(np.int64)])
+            values = code_lengths(keys[:split], counts[:split], triples, pairs).astype(np.float32)
+            rows.append((totals.column("bucket")[0].as_py(), _pack(keys), _squeeze(values), _squeeze(counts[split:])))
+        return _table(_CODED, rows)
 
     return run
 
 
-def _answer(listed: pa.Table, totals: pa.Table) -> pa.Table:
-    if not listed.num_rows:
-        return _table(_ANSWERS, [])
-    bucket = totals.column("bucket")[0].as_py()
-    keys, values, counts = _unpack(totals.column("keys")[0].as_py()), _values(totals.column("values")[0].as_py(), np.float32), _values(totals.column("counts")[0].as_py(), np.int64)
-    split, rows = len(values), []
-    for batch, blob in zip(listed.column("batch").to_pylist(), listed.column("one").to_pylist(), strict=True):
-        own = _unpack(blob)
-        cut = int(np.searchsorted(own, WORD_FLAG))
-        rows.append((batch, bucket, _squeeze(values[np.searchsorted(keys, own[:cut])]), _squeeze(counts[np.searchsorted(keys, own[cut:]) - split])))
-    return _table(_ANSWERS, rows)
+CODED = "bucket int, one binary, two binary, three binary"
+_CODED = pa.schema([*_LISTS, ("three", pa.binary())])
+
 
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and part, the bucket's values first: a list is answered as it passes, and only one bucket's values are held."""
+    keys = values = counts = None
+    for batch in batches:
+        rows, size = [], 0
+        cols = [batch.column(c) for c in ("batch", "bucket", "one", "two", "three")]
+        for name, bucket, one, two, three in zip(*cols, strict=True):
+            own = _unpack(one.as_py())
+            if not name.is_valid:
+                keys, values, counts = own, _values(two.as_py(), np.float32), _values(three.as_py(), np.int64)
+                continue
+            cut, split = int(np.searchsorted(own, WORD_FLAG)), len(values)
+            rows.append((name.as_py(), bucket.as_py(), _squeeze(values[np.searchsorted(keys, own[:cut])]), _squeeze(counts[np.searchsorted(keys, own[cut:]) - split])))
+            size += len(rows[-1][2])
+            if size > SLICE_BYTES:
+                yield _batch(_ANSWERS, rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(_ANSWERS, rows)
 
-SCORES = "doc_id long, n_tokens long, n_known long, logs double, score double"
-_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
 
+SCORES = "row string, doc_id long, n_tokens long, n_known long, logs double, score double"
+_SCORES = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
 
-def _per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, np.cumsum(sizes) - sizes)
+
+def _per_piece(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), values, len(sizes))
 
 
 def _score(buckets: int):
@@ -313,19 +414,18 @@ def _score(buckets: int):
         out = []
         for blob in stored.column("one").to_pylist():
             docs = pa.ipc.open_stream(blob).read_all()
-            texts = docs.column("text").to_pylist()
-            train = docs.column("train").to_numpy()
-            keys, _ = batch_keys(texts, train)
+            pieces = [Piece(*p) for p in zip(docs.column("text").to_pylist(), docs.column("head").to_pylist(), docs.column("last").to_pylist(), strict=True)]
+            keys, _ = batch_keys(pieces, docs.column("train").to_numpy())
             bucket = bucket_of(keys, buckets)
             split = int(np.searchsorted(keys, WORD_FLAG))
             values, counts = np.zeros(split, np.float32), np.zeros(len(keys) - split, np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             got = 0
-            for b, v, c in zip(answers.column("bucket").to_pylist(), answers.column("values").to_pylist(), answers.column("counts").to_pylist(), strict=True):
+            for b, v, c in zip(answers.column("bucket").to_pylist(), answers.column("values"), answers.column("counts"), strict=True):
                 at = order[cut[b] : cut[b + 1]]
-                values[at[at < split]] = _values(v, np.float32)
-                counts[at[at >= split] - split] = _values(c, np.int64)
+                values[at[at < split]] = _values(v.as_py(), np.float32)
+                counts[at[at >= split] - split] = _values(c.as_py(), np.int64)
                 got += len(at)
             if got != len(keys):
                 raise ValueError(f"{got} of {len(keys)} keys were answered")
@@ -336,51 +436,82 @@ def _score(buckets: int):
                 at = np.searchsorted(keys, coded.dictionary.to_numpy(zero_copy_only=False)) - offset
                 return table[at][coded.indices.to_numpy(zero_copy_only=False)]
 
-            for part in _slices(texts):
-                g, w, n = text_keys(texts[part])
-                sizes = np.array([len(t) + 1 for t in texts[part]])
+            for part in _slices(pieces):
+                g, w, n = text_keys(pieces[part])
+                sizes = np.array([len(p.text) + p.last for p in pieces[part]])
                 found = look(w, split, np.arange(len(counts)))
-                out.append((_per_text((counts[found] > 0).astype(np.int64), n + 1), _per_text(logs[found], n + 1), _per_text(look(g, 0, values).astype(np.float64), sizes), n + 1))
+                out.append((_per_piece(counts[found] > 0, n).astype(np.int64), _per_piece(logs[found], n), _per_piece(look(g, 0, values).astype(np.float64), sizes), n))
             known, logs, score, tokens = (np.concatenate(c) for c in zip(*out, strict=True))
-            return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), pa.array(tokens), pa.array(known), pa.array(logs), pa.array(score)], schema=_SCORES)
+            return pa.Table.from_arrays([docs.column("row").combine_chunks(), docs.column("doc_id").combine_chunks(), pa.array(tokens), pa.array(known), pa.array(logs), pa.array(score)], schema=_SCORES)
         return _table(_SCORES, [])
 
     return run
 
 
+def _hot(lists: DataFrame) -> DataFrame:
+    """Buckets of more than ``PART_BYTES`` of lists, with the number of parts they make."""
+    sizes = lists.groupBy("bucket").agg(F.sum(F.octet_length("one") + F.octet_length("two")).alias("size"), F.count(F.lit(1)).alias("lists"))
+    return sizes.where((F.col("size") > PART_BYTES) & (F.col("lists") > FAN_IN)).select("bucket", F.least(F.ceil(F.col("size") / PART_BYTES), F.ceil(F.col("lists") / FAN_IN)).cast("int").alias("parts"))
+
+
+def _part(name: str) -> Column:
+    return F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(name), F.col("parts")).cast("int"))
+
+
 def score_documents(docs: DataFrame, train) -> DataFrame:
     """Per row of ``docs``: doc_id, train, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` is a boolean column: the rows the model learns from.  Null and
-    empty texts have one token, the end.  Without training rows every symbol
+    empty texts have one token, the end.  Long texts are scored in pieces
+    that know the bytes before them, so only a single word of many megabytes
+    is held with its arrays at once.  Without training rows every symbol
     has probability 1/257 and the baseline 1.  Repeated rows are counted and
-    scored each; a null doc_id stays null.  Only doc_id and text are read.
+    scored each; a null doc_id stays null; an empty table gives no rows.
+    Only doc_id and text are read.
     """
     spark = docs.sparkSession
     tune(spark)
-    buckets = max(8, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, -(-size // BUCKET_BYTES))
     listed = written(rows.mapInArrow(_list(buckets), LISTED), "ppm-lists")
-    batches = listed.where("kind = 0").count()
-    groups = max(1, -(-batches // FAN_IN))
-
+    lists = listed.where("kind = 1").select("batch", "bucket", "one", "two")
+
+    hot = written(_hot(lists), "ppm-hot")
+    level, busy, made = lists.select("bucket", "one", "two", "batch"), hot, []
+    while not busy.isEmpty():  # a hot bucket's lists are added part by part, until a few are left
+        parts = level.join(busy, "bucket").withColumn("part", _part("batch"))
+        sums = parts.groupBy("bucket", "part").applyInArrow(_add, LISTS).withColumn("batch", F.expr("uuid()"))
+        level = written(level.join(busy, "bucket", "left_anti").unionByName(sums), "ppm-sums")
+        made.append(level)
+        busy = written(_hot(level), "ppm-hot")
+        made.append(busy)
+    totals = written(level.select("bucket", "one", "two").groupBy("bucket").applyInArrow(_total, TOTALS), "ppm-totals")
+    discard(*made)
+
+    triples = written(totals.select("bucket", "one", "two").mapInArrow(_triples, TRIPLES), "ppm-triples")
+    sums = triples.groupBy("triple").agg(F.sum("n").alias("n")).where("n > 0")
     pairs = np.zeros(SYMBOLS * SYMBOLS, np.int64)
-    sums = listed.where("kind = 2").select(F.explode(F.arrays_zip("pairs", "times")).alias("p")).groupBy("p.pairs").agg(F.sum("p.times").alias("n"))
-    for r in sums.collect():  # 257 x 257 rows at most
-        pairs[r["pairs"]] = r["n"]
-
-    keys = listed.where("kind = 1").select("batch", "bucket", "one", "two", F.pmod(F.xxhash64("batch"), F.lit(groups)).cast("int").alias("grp"))
-    part = keys.select("bucket", "one", "two") if groups == 1 else keys.groupBy("bucket", "grp").applyInArrow(_add, "bucket int, one binary, two binary")
-    totals = written(part.groupBy("bucket").applyInArrow(_total(pairs.reshape(SYMBOLS, SYMBOLS)), "bucket int, keys binary, values binary, counts binary, tokens long, kinds long"), "ppm-trie")
+    symbol, before = F.col("triple").bitwiseAND((1 << BITS) - 1), F.shiftright("triple", BITS)
+    for r in sums.groupBy((before.bitwiseAND((1 << BITS) - 1) * SYMBOLS + symbol).alias("pair")).agg(F.sum("n").alias("n")).collect():  # 257 x 257 rows at most
+        pairs[r["pair"]] = r["n"]
+    under = sums.groupBy(before.alias("context")).agg(F.collect_list(F.struct("triple", "n")).alias("under"))  # 257 at most
+    contexts = triples.select("bucket", before.alias("context")).distinct().join(under, "context").select("bucket", "under")
+    coded = written(totals.select("bucket", "one", "two").groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(_code(pairs.reshape(SYMBOLS, SYMBOLS)), CODED), "ppm-trie")
     n = totals.agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     n_train, kinds = n["tokens"] or 0, n["kinds"] or 0
+    discard(totals, triples)
 
-    spread = totals.select("bucket", "keys", "values", "counts", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    answers = keys.select("batch", "bucket", "one", "grp").groupBy("bucket", "grp").cogroup(spread.groupBy("bucket", "grp")).applyInArrow(_answer, "batch string, bucket int, values binary, counts binary")
+    values = coded.join(hot, "bucket", "left").select(F.lit(None).cast("string").alias("batch"), "bucket", "one", "two", "three", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("part"))
+    asked = lists.join(hot, "bucket", "left").select("batch", "bucket", "one", F.lit(None).cast("binary").alias("two"), F.lit(None).cast("binary").alias("three"), _part("batch").alias("part"))
+    passing = values.unionByName(asked).repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.col("batch").asc_nulls_first())
+    answers = written(passing.select("batch", "bucket", "one", "two", "three").mapInArrow(_answer, "batch string, bucket int, values binary, counts binary"), "ppm-answers")
+    discard(coded)
     stored = listed.where("kind = 0").select("batch", "one")
     scored = stored.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(buckets), SCORES)
     base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(n_train + 0.1 * (kinds + 1))))
-    return scored.select("doc_id", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    whole = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")])
+    return whole.select("doc_id", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op2_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,9 @@ TEXTS = ["The cat  sat on\tthe mat.", None, "", "the CAT sat", "ünï çödé \x
 def test_brute_force(spark, monkeypatch, batch_bytes):
     monkeypatch.setattr(lm, "BATCH_BYTES", batch_bytes)
     monkeypatch.setattr(lm, "FAN_IN", 256 if batch_bytes > 100 else 3)
+    if batch_bytes < 100:  # every bucket is split and texts are cut into pieces
+        monkeypatch.setattr(lm, "PART_BYTES", 60)
+        monkeypatch.setattr(lm, "PIECE_BYTES", 8)
     rows = [(i, t, i % 3 != 0) for i, t in enumerate(TEXTS * 2)]
     docs = spark.createDataFrame([(i, t, k, 1.0) for i, t, k in rows], "doc_id long, text string, keep boolean, score double")
     out = {r["doc_id"]: r for r in lm.score_documents(docs, F.col("keep")).collect()}
@@ -98,3 +101,34 @@ def test_packing_of_keys():
     for n in (0, 1, 1000):
         keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         assert (lm._unpack(lm._pack(keys)) == keys).all()
+
+
+@pytest.mark.parametrize("limit", [1, 7, 40])
+def test_pieces_have_the_keys_of_whole_texts(monkeypatch, limit):
+    texts = [(t or "").encode() for t in TEXTS] + [b"  lead and  trail  ", b"A b\tC\n\n" * 20]
+    whole = [p for t in texts for p in lm.pieces_of(t)]
+    assert len(whole) == len(texts)
+    monkeypatch.setattr(lm, "PIECE_BYTES", limit)
+    cut = [p for t in texts for p in lm.pieces_of(t)]
+    assert b"".join(p.text for p in cut) == b"".join(texts) and sum(p.last for p in cut) == len(texts) < len(cut)
+    assert (lm.grams(whole) == lm.grams(cut)).all()
+    (_, w1, n1), (_, w2, n2) = lm.text_keys(whole), lm.text_keys(cut)
+    assert (w1 == w2).all() and n1.sum() == n2.sum() == len(w1)
+    train = [np.array([i % 2 == 0 for i, t in enumerate(texts)]), np.array([i % 2 == 0 for i, t in enumerate(texts) for _ in lm.pieces_of(t)])]
+    for one, two in zip(lm.batch_keys(whole, train[0]), lm.batch_keys(cut, train[1]), strict=True):
+        assert (one == two).all()
+
+
+def test_long_texts(spark):
+    """A text of several pieces counts and scores as its short copies do together, and one word of megabytes is no trouble."""
+    part = "the Cat sat on a mat and öther things happened. "
+    n = 120_000
+    rows = [(1, part * n), (2, "w" * 3_000_000), (3, part), (None, None)]
+    out = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()}
+    assert out[1]["n_tokens"] == out[1]["n_known"] == 10 * n + 1 and out[2]["n_tokens"] == 2 and out[3]["n_tokens"] == 11
+    assert out[1]["train_tokens"] == sum(r["n_tokens"] for r in out.values())
+    counts = Counter(part.lower().split())
+    total, kinds = out[1]["train_tokens"], len(counts) + 2
+    want = sum(n * c * math.log10((c * (n + 1) + 0.1) / (total + 0.1 * (kinds + 1))) for c in counts.values()) + math.log10(4.1 / (total + 0.1 * (kinds + 1)))
+    assert out[1]["base_score"] == pytest.approx(want, rel=1e-9)
+    assert out[1]["score"] > -0.2 * len(part) * n
