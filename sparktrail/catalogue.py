@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from .plans import micro, tpch
+from .plans import micro, stored, tpch
 
 FLAGSHIP = "q3_lineage_lineitem"
 
 
 def _entries() -> dict[str, micro.Entry]:
-    return micro.entries() | tpch.entries()
+    rules = micro.entries()
+    return rules | stored.entries(rules["sketch_large"].sql) | tpch.entries()
 
 
 def queries():

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .layers import Captured, Direct, Guard, Via, hidden, reaches
+from .layers import Captured, Direct, Guard, Via, bucket_of, hidden, reaches
 
 #: Row numbers per bucket of the range join for window frames.
 FRAME_BUCKET = 1024
@@ -44,7 +44,7 @@ def _follow(df: DataFrame, sources, access: str, keep: list[str], factored: bool
 def _step(df: DataFrame, s: Via, access: str, keep: list[str], factored: bool) -> tuple[DataFrame, list[str]]:
     layer = s.layer
     ids = _wanted(layer.sources, access)
-    if not s.cols and s.frame is None and layer.kind in ("pure_aggregate", "window"):
+    if not s.cols and s.frame is None:
         if factored:  # the same for all output rows: once, if there is any
             there = df.limit(1).select(F.lit(1).alias("_any"))
             return layer.df.select(*ids).crossJoin(F.broadcast(there)).drop("_any"), []
@@ -85,7 +85,10 @@ def _first_step(captured: Captured, root: DataFrame, access: str, keep: list[str
                     yield from go(s.sources)
             elif isinstance(s, Via) and s.cols and s.frame is None:
                 kinds = {f.name: f.dataType for f in root.schema.fields}
-                test = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.lit(row[c]).cast(kinds[c])) for p, c in zip(s.layer.ptr, s.cols, strict=True)])
+                values = [F.lit(row[c]).cast(kinds[c]) for c in s.cols]
+                test = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(v) for p, v in zip(s.layer.ptr, values, strict=True)])
+                if s.layer.buckets:
+                    test &= F.col("_bucket") == bucket_of(values, s.layer.buckets)
                 found = s.layer.df.where(test).select(*_wanted(s.layer.sources, access), *[F.lit(row[k]).cast(kinds[k]).alias(k) for k in keep])
                 yield from _follow(found, s.layer.sources, access, keep, factored)
             else:

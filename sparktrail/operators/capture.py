@@ -25,12 +25,16 @@ def capture(plan: N.Plan) -> Captured:
     return _Capture().of(plan)
 
 
+_SORT = re.compile(r"(?P<by>.*?)(?:\s+(?P<way>asc|desc))?(?:\s+nulls\s+(?P<nulls>first|last))?\s*", re.IGNORECASE | re.DOTALL)
+
+
 def _sorts(order) -> list[Column]:
-    """Sort texts such as "x desc" as columns."""
+    """Sort texts such as "x desc" or "x asc nulls last" as columns; without a word on nulls they are the smallest."""
     out = []
     for o in order:
-        name, _, way = o.strip().rpartition(" ")
-        out.append(F.expr(name).desc() if way.lower() == "desc" and name else F.expr(name if way.lower() == "asc" and name else o))
+        by, way, nulls = (g and g.lower() if i else g for i, g in enumerate(_SORT.fullmatch(o.strip()).groups()))
+        name = {"desc": "desc"}.get(way, "asc") + (f"_nulls_{nulls}" if nulls else "")
+        out.append(getattr(F.expr(by), name)())
     return out
 
 
@@ -74,7 +78,8 @@ class _Capture:
 
     def _limit(self, n: N.Limit) -> Captured:
         c = self.of(n.child)
-        df = c.df.offset(n.offset).limit(n.n) if n.offset else c.df.limit(n.n)
+        df = c.df.offset(n.offset) if n.offset else c.df
+        df = df if n.n is None else df.limit(n.n)
         return c.with_(df=df, complete=frozenset())
 
     # --- joins ---------------------------------------------------------------
@@ -107,7 +112,15 @@ class _Capture:
     def _exists(self, n: N.Exists) -> Captured:
         left, right = self.of(n.left), self.of(n.right)
         matches = [F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in n.on] + ([F.expr(n.residual)] if n.residual else [])
-        condition = reduce(lambda a, b: a & b, matches) if matches else F.lit(True)
+        if not matches:  # one row decides for all output rows, and all rows are behind each of them
+            any_ = F.broadcast(right.df.limit(1).agg(F.count(F.lit(1)).alias("_n_any")))
+            there = F.col("_n_any") == (0 if n.negated else 1)
+            df = left.df.crossJoin(any_).where(there).drop("_n_any")
+            if n.negated:
+                return left.with_(df=df, complete=frozenset())
+            layer = Layer(next(self.ids), "pure_aggregate", right.df.select(*hidden(right.sources)), (), right.sources)
+            return Captured(df, left.data, (*left.sources, Via(layer, ())), order=left.order)
+        condition = reduce(lambda a, b: a & b, matches)
         if n.negated:  # nothing of the negated side is lineage
             if n.null_aware:
                 return left.with_(df=_not_in(left.df, right.df, *n.on[0]), complete=frozenset())
@@ -118,13 +131,15 @@ class _Capture:
             layer = Layer(i, "in", right.df.select(*[F.col(f"`{b}`").alias(p) for (_, b), p in zip(n.on, ptr, strict=True)], *hidden(right.sources)), ptr, right.sources)
             df = left.df.join(right.df, condition, "left_semi").withColumns({p: F.col(f"`{a}`") for (a, _), p in zip(n.on, ptr, strict=True)})
             return Captured(df, left.data, (*left.sources, Via(layer, ptr)), order=left.order)
-        # any condition: outer ids beside the ids of every witness
-        own = hidden(left.sources)
-        ptr = tuple(f"_ptr_{i}_{k}" for k in range(len(own)))
-        outer = left.df.dropDuplicates(own)
-        pairs = outer.join(right.df, condition).select(*[F.col(o).alias(p) for o, p in zip(own, ptr, strict=True)], *hidden(right.sources))
+        # any condition: the outer values that it reads beside the ids of every witness
+        read = [d for d in left.data if d in {a for a, _ in n.on} or d in (n.residual or "")]
+        if not read:
+            raise ValueError(f"an EXISTS whose condition reads nothing of the outer side: {n.residual}")
+        ptr = tuple(f"_ptr_{i}_{k}" for k in range(len(read)))
+        outer = left.df.select(*[F.col(f"`{d}`") for d in read]).distinct()
+        pairs = outer.join(right.df, condition).select(*[F.col(f"`{d}`").alias(p) for d, p in zip(read, ptr, strict=True)], *hidden(right.sources))
         layer = Layer(i, "exists", pairs, ptr, right.sources)
-        df = left.df.join(right.df, condition, "left_semi").withColumns({p: F.col(o) for o, p in zip(own, ptr, strict=True)})
+        df = left.df.join(right.df, condition, "left_semi").withColumns({p: F.col(f"`{d}`") for d, p in zip(read, ptr, strict=True)})
         return Captured(df, left.data, (*left.sources, Via(layer, ptr)), order=left.order)
 
     def _mark(self, n: N.Mark) -> Captured:

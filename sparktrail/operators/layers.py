@@ -29,7 +29,7 @@ class Direct:
 
 @dataclass(frozen=True, eq=False)
 class Layer:
-    """kind: aggregate, pure_aggregate, exists, in, window, frame or set. ``place``: the row number column of a window layer."""
+    """kind: aggregate, pure_aggregate, exists, in, window, frame or set. ``place``: the row number column of a window layer. ``buckets``: the folders of a stored layer, by the pointer's hash."""
 
     id: int
     kind: str
@@ -37,6 +37,7 @@ class Layer:
     ptr: tuple[str, ...]
     sources: tuple
     place: str | None = None
+    buckets: int = 0
 
 
 @dataclass(frozen=True, eq=False)
@@ -131,12 +132,17 @@ def graph_json(captured: Captured) -> str:
     return json.dumps({"data": captured.data, "order": captured.order, "complete": sorted(captured.complete), "keys": captured.keys, "sources": [_source_json(s) for s in captured.sources], "layers": layers}, indent=1)
 
 
+def bucket_of(pointer: list, buckets: int):
+    """The folder that a stored layer's rows with this pointer are in."""
+    return F.pmod(F.hash(*pointer), F.lit(buckets))
+
+
 def save(captured: Captured, path: str, partitions: int = 0) -> Captured:
     """Write result and layers once, from the same run, and return the capture that reads them.
 
     Layers are sorted by pointer, so that row-group statistics prune a
     single-row backtrace; with ``partitions`` they are also split into that
-    many folders by the pointer's hash.
+    many folders by the pointer's hash, of which it opens one.
     """
     spark = captured.df.sparkSession
     captured.df.write.mode("overwrite").parquet(f"{path}/root")
@@ -144,11 +150,13 @@ def save(captured: Captured, path: str, partitions: int = 0) -> Captured:
         df = layer.df
         if layer.ptr:
             if partitions:
-                df = df.withColumn("_bucket", F.pmod(F.hash(*layer.ptr), F.lit(partitions)))
-            df = df.sortWithinPartitions(*layer.ptr)
+                df = df.withColumn("_bucket", bucket_of([F.col(p) for p in layer.ptr], partitions))
+            # the folder first: the writer needs that order, and keeps the pointers' order inside a folder
+            df = df.sortWithinPartitions(*(["_bucket"] if partitions else []), *layer.ptr)
         writer = df.write.mode("overwrite")
         (writer.partitionBy("_bucket") if partitions and layer.ptr else writer).parquet(f"{path}/layer_{layer.id}")
-    spark.createDataFrame([(graph_json(captured),)], "graph string").coalesce(1).write.mode("overwrite").text(f"{path}/graph")
+    graph = json.dumps(json.loads(graph_json(captured)) | {"buckets": partitions}, indent=1)
+    spark.createDataFrame([(graph,)], "graph string").coalesce(1).write.mode("overwrite").text(f"{path}/graph")
     return load(spark, path)
 
 
@@ -160,7 +168,9 @@ def load(spark: SparkSession, path: str) -> Captured:
     def layer(i: int) -> Layer:
         if i not in made:
             x = specs[i]
-            made[i] = Layer(i, x["kind"], spark.read.parquet(f"{path}/layer_{i}").select(*x["columns"]), tuple(x["ptr"]), tuple(map(source, x["sources"])), x["place"])
+            buckets = graph.get("buckets", 0) if x["ptr"] else 0
+            df = spark.read.parquet(f"{path}/layer_{i}").select(*x["columns"], *(["_bucket"] if buckets else []))
+            made[i] = Layer(i, x["kind"], df, tuple(x["ptr"]), tuple(map(source, x["sources"])), x["place"], buckets)
         return made[i]
 
     def source(x: dict):
@@ -174,7 +184,7 @@ def load(spark: SparkSession, path: str) -> Captured:
 
 
 def keep_result(captured: Captured) -> Captured:
-    """Keep the result with its pointers: the query runs once, and every backtrace starts from the same rows."""
+    """Keep the result with its pointers: the query runs once, and every backtrace starts from the same rows. (What a lost executor held is computed again; where a LIMIT has ties, save instead.)"""
     captured.df.persist()
     return captured
 

@@ -247,7 +247,6 @@ def entries() -> dict[str, Entry]:
     cut = "(SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)"
     rich = f"FROM customer o WHERE o.c_acctbal > {cut} AND o.c_mktsegment = 'MACHINERY'"
     add("uncorr_scalar_lineage", traced(uncorr_scalar, "c2"), f"SELECT c_custkey AS c2_c_custkey FROM customer WHERE c_acctbal > 0 AND EXISTS (SELECT 1 {rich})")
-    add("uncorr_scalar_lineage_attached", traced(uncorr_scalar, "c2", ["c_custkey"], where="c_custkey % 100 = 7", factored=False), f"SELECT o.c_custkey AS out_c_custkey, i.c_custkey AS c2_c_custkey FROM (SELECT * {rich}) o JOIN customer i ON i.c_acctbal > 0 WHERE o.c_custkey % 100 = 7")
     add("uncorr_scalar_lineage_attached_all", traced(uncorr_scalar, "c2", ["c_custkey"], factored=False), f"SELECT o.c_custkey AS out_c_custkey, i.c_custkey AS c2_c_custkey FROM (SELECT * {rich}) o JOIN customer i ON i.c_acctbal > 0")
     add("nested_scalar_lineage", traced(nested_scalar, "o2"), "SELECT o_orderkey AS o2_o_orderkey FROM orders")
     add("nested_scalar_lineage_outer", traced(nested_scalar, "o", ["o_custkey"]), "WITH s AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey) SELECT o.o_custkey AS out_o_custkey, o_orderkey AS o_o_orderkey FROM orders o JOIN s ON o.o_custkey = s.o_custkey WHERE t >= 0.8 * (SELECT max(t) FROM s)")

@@ -84,7 +84,7 @@ class Plan:
     def sort(self, *order: str) -> Plan:
         return Sort(self, order)
 
-    def limit(self, n: int, offset: int = 0) -> Plan:
+    def limit(self, n: int | None, offset: int = 0) -> Plan:
         return Limit(self, n, offset)
 
 
@@ -187,7 +187,7 @@ class Sort(Plan):
 @dataclass(frozen=True, eq=False)
 class Limit(Plan):
     child: Plan
-    n: int
+    n: int | None
     offset: int = 0
 
 

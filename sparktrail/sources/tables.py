@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,16 @@ def csv_to_table(spark: SparkSession, path: str, schema: str, name: str) -> Data
     return materialise(read_csv(spark, path, schema), name)
 
 
+def workspace(spark: SparkSession, label: str) -> str:
+    """A new folder for stored captures under ``spark.checkpoint.dir``; a temporary one only where that is unset and the session is local."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="sparktrail-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def run_sql(spark: SparkSession, text: str) -> DataFrame:
     """Any query over the session's tables and views, lineage views included."""
     return spark.sql(text)

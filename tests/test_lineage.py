@@ -35,6 +35,8 @@ CHOSEN = [
     "nested_in_lineage_inner", "corr_scalar_lineage", "uncorr_scalar_lineage", "having_scalar_lineage", "sublink_or_lineage", "view_twice_lineage_outer", "group_avg_lineage",
     "nested_agg_lineage", "pure_agg_lineage", "distinct_lineage", "window_rows_lineage", "window_groups_lineage", "single_row_lineage", "union_lineage", "intersect_lineage_right",
     "except_all_lineage", "poly_unfactored", "poly_factored", "sketch_64", "sketch_large", "layer_stats", "q2_lineage_sublink", "q3_lineage_lineitem", "q13_lineage_orders", "q21_lineage_sublink",
+    "exists_over_window_lineage", "exists_uncorrelated_lineage", "exists_uncorrelated_attached", "exists_over_pure_agg_lineage", "intersect_all_lineage", "stored_single_row", "stored_all_rows",
+    "stored_graph", "lineage_view", "lineage_csv", "generated_series", "chain_lineage", "chain_group_lineage", "column_stats", "sketch_bits", "sketch_equality",
 ]
 
 
@@ -208,3 +210,69 @@ def test_attached_scalar_lineage_of_all_output_rows(spark, duck):
     assert bag(found, ["out_c_custkey", "c2_c_custkey"]) == Counter(duck.execute(ORACLES[name]).fetchall())
     result = capture(micro.uncorr_scalar(micro.Tables(spark, SF))).result
     assert bag(found.select("out_c_custkey").distinct()) == bag(result, ["c_custkey"]) and result.count() > 1
+
+
+SQL_TEXTS = [
+    "SELECT k FROM (SELECT k, v, sum(k) OVER (PARTITION BY g) s FROM t) x WHERE EXISTS (SELECT 1 FROM u WHERE u.w > x.v)",
+    "SELECT k FROM (SELECT k, v, sum(k) OVER () s FROM t) x WHERE EXISTS (SELECT 1 FROM u WHERE u.w > x.v)",
+    "SELECT m FROM (SELECT max(v) m FROM t) x WHERE EXISTS (SELECT 1 FROM u WHERE u.w > x.m)",
+    "SELECT k FROM t WHERE EXISTS (SELECT 1 FROM u WHERE w > 3)",
+    "SELECT k FROM t WHERE EXISTS (SELECT 1 FROM u WHERE w > 300)",
+    "SELECT k FROM t WHERE NOT EXISTS (SELECT 1 FROM u WHERE w > 300) AND k < 3",
+    "SELECT k FROM t WHERE s LIKE 'x!_y' ESCAPE '!'",
+    "SELECT k, row_number() OVER (ORDER BY v NULLS LAST, k) r FROM t",
+    "SELECT k, row_number() OVER (ORDER BY v DESC NULLS FIRST, k) r FROM t",
+    "SELECT k, sum(k) OVER (ORDER BY v DESC NULLS FIRST, k ROWS 1 PRECEDING) r FROM t",
+    "SELECT k, first_value(v) IGNORE NULLS OVER (PARTITION BY g ORDER BY k DESC) f, lag(v) IGNORE NULLS OVER (ORDER BY k) l FROM t",
+    "SELECT k, last(s, true) OVER (PARTITION BY g ORDER BY k) f, nth_value(v, 2) IGNORE NULLS OVER (ORDER BY k) n FROM t",
+    "SELECT g, first(v, true) f FROM (SELECT * FROM t WHERE k IN (3, 5)) GROUP BY g",
+    "SELECT k, TRY_CAST(s AS INT) c, CAST(v AS STRING) d FROM t",
+    "SELECT k FROM t ORDER BY v ASC NULLS LAST, k DESC LIMIT 3",
+    "SELECT k FROM t ORDER BY k OFFSET 2",
+    "SELECT k, v FROM t ORDER BY v DESC NULLS FIRST, k LIMIT 2 OFFSET 1",
+    "SELECT count(*) n, sum(v) FILTER (WHERE k > 1) f, count(DISTINCT g) d FROM t",
+    "SELECT upper(s) a, coalesce(v, -1) b, CASE WHEN v > 1 THEN 'p' ELSE 'q' END d, v IN (1, 5) e, s LIKE 'x%' f FROM t",
+    "SELECT s RLIKE '^x' a, concat_ws('-', s, g) b, round(v / 3, 2) c, v % 2 m, -v n, NOT (v > 1) o FROM t",
+    "SELECT k, date_add(DATE '2020-01-01', k) d, extract(year FROM DATE '2020-01-01') y FROM t",
+    "SELECT k, ntile(2) OVER (ORDER BY k) n, percent_rank() OVER (ORDER BY v NULLS LAST) p, lead(v, 1, 0) OVER (ORDER BY k) l FROM t",
+    "SELECT t.k, u.w FROM t LEFT JOIN u ON t.g = u.h AND u.w > t.k",
+    "SELECT k FROM t WHERE k NOT IN (SELECT w FROM u WHERE w IS NOT NULL)",
+    "SELECT g, max(v) - min(v) d FROM t GROUP BY g HAVING count(*) > 1",
+]
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    t = spark.createDataFrame([(1, "a", 1, "x_y"), (2, "a", 1, "x%y"), (3, "b", 5, None), (4, "b", None, "7"), (5, None, 3, "q")], "k int, g string, v int, s string")
+    u = spark.createDataFrame([(2, "a"), (6, "b"), (4, None)], "w int, h string")
+    return Catalog(spark).register("t", t, ["k"]).register("u", u, ["w"])
+
+
+@pytest.mark.parametrize("text", SQL_TEXTS)
+def test_sql_means_what_spark_means(spark, small, text):
+    assert sorted(map(str, map(tuple, capture(small.plan(text)).result.collect()))) == sorted(map(str, map(tuple, spark.sql(text).collect())))
+
+
+@pytest.mark.parametrize("text", SQL_TEXTS[:3])
+def test_witnesses_of_conditions_over_windows_and_aggregates(spark, small, text):
+    """Every output row has all witnesses of its own condition, also where outer rows have no ids of their own."""
+    v = {1: 1, 2: 1, 3: 5, 4: None, 5: 3} if text.startswith("SELECT k") else {5: 5}
+    want = sorted((k, w) for k, low in v.items() for w in (2, 6, 4) if low is not None and w > low)
+    assert sorted(map(tuple, backtrace(capture(small.plan(text)), "u").collect())) == want
+
+
+@pytest.mark.parametrize("text", ["SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY v) p FROM t", "SELECT k, sum(v) OVER (ORDER BY CAST(v AS DOUBLE) RANGE BETWEEN 0.5 PRECEDING AND CURRENT ROW) r FROM t", "SELECT k FROM t WHERE k > 3 OR EXISTS (SELECT 1 FROM u WHERE w > 3)"])
+def test_sql_that_is_refused(small, text):
+    with pytest.raises(Unsupported):
+        small.plan(text)
+
+
+def test_a_stored_layer_is_pruned_to_one_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 50) for i in range(1000)] + [(5000, None)], "k int, g int")
+    from sparktrail.plans.nodes import scan
+
+    saved = save(capture(scan("t", rows, ["k"]).group(["g"], n="count(1)")), str(tmp_path / "capture"), partitions=8)
+    for g in (7, None):
+        found = backtrace(saved, "t", ["g"], where="g <=> 7" if g else "g IS NULL")
+        assert sorted(r["t_k"] for r in found.collect()) == ([i for i in range(1000) if i % 50 == 7] if g else [5000])
+        assert len(found.inputFiles()) and "PartitionFilters: [isnotnull(_bucket" in found._jdf.queryExecution().executedPlan().toString()
