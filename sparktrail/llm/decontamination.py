@@ -4,9 +4,12 @@ All benchmark windows (13 consecutive normalised words, or a whole shorter
 item) go into one automaton over word ids; each document is scanned once
 and the hit words are mapped back to the offsets of the original text.
 
-The automaton is broadcast, so its size is checked: beyond ``MAX_WORDS``
-window words the windows are dealt into several automata that are scanned
-one after the other and whose hits are united; nothing is dropped.
+The benchmark is a fixed list that does not grow with the corpus; its
+windows are held by the driver and, once for each worker process, by the
+executors.  Beyond ``MAX_WORDS`` window words they are dealt into several
+automata that are scanned one after the other and whose hits are united, so
+no single automaton is large; all of them together still have to fit a
+worker.  Nothing is dropped.
 """
 
 from __future__ import annotations
@@ -144,7 +147,12 @@ def contaminated_spans(spark: SparkSession, windows: Windows, text: Column) -> C
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated (a hit, and a twentieth of the words or more), with all their columns."""
+    """The documents that are not contaminated (a hit, and a twentieth of the words or more), with all their columns.
+
+    Texts of any length are scanned whole; null and empty ones are clean and
+    stay, repeated rows and rows without an id are judged like all others, an
+    empty table or benchmark is no error.  Columns of any name pass through.
+    """
     spark = docs.sparkSession
     return docs.where(~hit_report(spark, benchmark_windows(benchmark), F.col("text"))["contaminated"])
 

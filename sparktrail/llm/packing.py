@@ -4,19 +4,21 @@ A histogram of the lengths of all documents is reduced on the cluster; a
 dynamic program over it finds the bucket ends that give the least padding
 for the allowed number of buckets; batches under a token budget are then
 formed inside each bucket.
+
+The histogram is exact.  Documents of d different lengths have more than
+d^2 / 2 tokens together, so 30 GB of text have 110,000 different lengths at
+the very most, and 100 TB have 7 million; real corpora have far fewer.
 """
 
 from __future__ import annotations
 
+from array import array
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, numbered, table, written
 
-#: Lengths up to this are exact in the histogram; longer ones are rounded up
-#: to 11 significant bits, so the histogram has at most 2,048 + 1,024 per
-#: doubling (about 23,000) entries at any size of the corpus.
-EXACT = 2048
 BUCKETS, TOKEN_BUDGET = 16, 65_536
 
 
@@ -25,11 +27,6 @@ def token_count(text: Column) -> Column:
     return (F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)) + 1).cast("long")
 
 
-def rounded_length(n: Column) -> Column:
-    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2((n - 1).cast("double") + 0.5)) - 10, F.lit(0))).cast("long")
-    return F.when(n <= EXACT, n).otherwise(F.ceil(n / step).cast("long") * step)
-
-
 def best_buckets(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
     """Ends of at most ``buckets`` buckets with the least padding in total.
 
@@ -48,11 +45,11 @@ def best_buckets(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
         upto.append(total)
     size = len(lengths)
     best = [n * c for n, c in zip(lengths, upto, strict=True)]
-    back = [[-1] * size]
+    back = [array("i", [-1]) * size]
     costs = [best[-1]]
     for _ in range(1, min(buckets, size)):
         hull: list[tuple[int, int, int]] = []  # slope, height, i; slopes fall
-        head, now, come = 0, best[:], [-2] * size
+        head, now, come = 0, best[:], array("i", [-2]) * size
         for j in range(1, size):
             m, h = -upto[j - 1], best[j - 1]
             while len(hull) - head >= 2 and (h - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - m):
@@ -89,13 +86,12 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
     other columns are not looked at.
     """
     base = written(docs.select("doc_id", token_count(F.col("text")).alias("n_tokens"), F.monotonically_increasing_id().alias("pos")), "lengths")
-    base = base.withColumn("rounded", rounded_length(F.col("n_tokens")))
-    histogram = [(r["rounded"], r["n"]) for r in base.groupBy("rounded").agg(F.count(F.lit(1)).alias("n")).collect()]
+    histogram = [(r["n_tokens"], r["n"]) for r in base.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()]
     total = sum(n for _, n in histogram)
     ends = best_buckets(histogram, buckets)
     bounds = F.array(*[F.lit(e).cast("long") for e in ends]) if ends else F.array(F.lit(1).cast("long"))
     placed = base.select(
-        "doc_id", "n_tokens", "pos", F.xxhash64(F.lit(seed), "pos").alias("key"), F.size(F.filter(bounds, lambda e: e < F.col("rounded"))).alias("bucket")
+        "doc_id", "n_tokens", "pos", F.xxhash64(F.lit(seed), "pos").alias("key"), F.size(F.filter(bounds, lambda e: e < F.col("n_tokens"))).alias("bucket")
     )
     out = numbered(placed, ["bucket"], "key", "pos", total, "slot")
     out = out.withColumn("bucket_len", F.element_at(bounds, F.col("bucket") + 1))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, tune, written
+from .common import qualified, shared_dir, table, tune, written
 from .warc import _file_system
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -205,6 +205,7 @@ def write_matrices(packed: DataFrame, folder: str, row_length: int = ROW_LENGTH)
     object.  Files that a failed task left behind are not in the manifest.
     """
     tune(packed.sparkSession)
+    folder = qualified(packed.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _file_system(folder)

@@ -226,12 +226,23 @@ def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Col
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score under ``threshold``, with all their columns; repeated rows stay repeated."""
+    """The documents that score under ``threshold``, with all their columns.
+
+    Texts of any length are scored whole; null and empty ones score as a text
+    without words does; equal texts score equally, so repeated rows stay or go
+    together; rows without an id are scored like all others; an empty table
+    gives no rows, and without labels of both classes the share of label 1 is
+    everyone's score.  Columns of any name pass through.
+    """
     return docs.where(score_column(docs.sparkSession, train(docs, labels), F.col("text")) < threshold)
 
 
 def op3_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document of ``documents``: doc_id, held_out, score, predicted."""
+    """Every document of ``documents``: doc_id, held_out, score, predicted.
+
+    One row per row of the table, repeated rows, null ids and null, empty and
+    long texts included; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     out = docs.select("doc_id", (id_crc("doc_id") % 3 == 1).alias("held_out"), score_column(spark, model, F.col("text")).alias("score"))

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, tune, written
+from .common import qualified, shared_dir, table, tune, written
 
 #: Fixed value: magic number of the skippable frame that carries a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -164,7 +164,7 @@ def read_archive(source, where: str = "archive") -> Iterator[dict]:
 def _file_system(folder: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    return fs.FileSystem.from_uri(folder)
 
 
 MANIFEST = "path string, records long, bytes long"
@@ -180,7 +180,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit: int
     """
     spark = pages.sparkSession
     tune(spark)
-    folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = qualified(spark, folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
     sample = rows.select("page_id", F.substring("html", 1, SAMPLE_BYTES).alias("h")).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)

@@ -27,11 +27,15 @@ def test_no_lengths():
     assert packing.best_buckets([], 4) == []
 
 
-def test_rounding(spark):
-    rows = spark.range(1, 300_000, 7).select(F.col("id"), packing.rounded_length(F.col("id")).alias("r"))
-    facts = rows.agg(F.min(F.col("r") - F.col("id")), F.max((F.col("r") - F.col("id")) / F.col("id")), F.countDistinct("r")).first()
-    assert facts[0] == 0 and facts[1] < 1 / 1024 + 1e-9 and facts[2] < 12_000
-    assert rows.where("id <= 2048 and r <> id").count() == 0
+def test_long_lengths_are_exact(spark):
+    """Buckets of documents over 2,048 tokens end at lengths that occur, with the least padding of all choices."""
+    lengths = [2047, 2050, 2173, 4099, 5185, 5188, 9001, 20_011]
+    docs = spark.createDataFrame([(i, "w " * (n - 1)) for i, n in enumerate(lengths * 2 + [5185])], "doc_id long, text string")
+    out = packing.pack(docs, 3).collect()
+    histogram = sorted(Counter(r["n_tokens"] for r in out).items())
+    ends = sorted({r["bucket_len"] for r in out})
+    assert [n for n, _ in histogram] == lengths and set(ends) <= set(lengths) and ends[-1] == 20_011
+    assert padded(histogram, ends) == min(padded(histogram, [*c, 20_011]) for k in range(3) for c in combinations(lengths[:-1], k))
 
 
 def test_pack(spark):
