@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector is approximated by a sum of eight full-dimensional codewords, one
+A vector is approximated by a sum of sixteen full-dimensional codewords, one
 of each codebook.  Codebooks are fitted on a bounded sample by residual
-k-means and joint least squares; encoding is a beam search that uses only
-inner products known in advance.  A query scores all codes through a lookup
-table of its inner products with the codewords (for Euclidean distance the
-stored norms of the approximations are subtracted); the best of every block
-of the index are ranked again by the exact measure on the original vectors.
+k-means and rounds of encoding and least squares; encoding is a beam search
+over the residuals.  A query scores all codes through a lookup table of its
+inner products with the codewords (for Euclidean distance the stored norms of
+the approximations are subtracted); the best ``RERANK`` of every block of the
+index are ranked again by the exact measure on the original vectors.  As each
+block gives its own, the reranked share does not shrink as the index grows.
 
 Index and queries are cut into blocks, and each pair of blocks is one group
 of a cogroup, so neither side is ever broadcast or collected.  Equal vectors
@@ -22,10 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import table, tune, written
 
-BOOKS, WORDS, BEAM = 8, 256, 4
+BOOKS, WORDS, BEAM = 16, 256, 4
+#: Rounds of encoding the sample and fitting all codewords to its codes.
+ROUNDS = 2
 #: Vectors that fit the codebooks, drawn by a seeded hash of the id; every vector is indexed.
 SAMPLE = 16_384
-INDEX_BLOCK, QUERY_BLOCK = 16_384, 2_048
+#: Rows of a block: the index is shipped queries / QUERY_BLOCK times, the queries index / INDEX_BLOCK times.
+INDEX_BLOCK, QUERY_BLOCK = 16_384, 8_192
 RERANK = 200
 NEIGHBOURS = 20
 
@@ -48,50 +52,40 @@ class AdditiveQuantiser:
             near = (2 * rest @ centres.T - (centres**2).sum(axis=1)).argmax(axis=1)
             self.codebooks[m] = centres
             rest = rest - centres[near]
-        self._prepare()
-        self._refit(x)
-
-    def _prepare(self) -> None:
-        books, words, dim = self.codebooks.shape
-        self.flat = self.codebooks.reshape(books * words, dim)
-        self.gram = (self.flat @ self.flat.T).reshape(books, words, books, words)
-        self.norms = (self.flat**2).sum(axis=1).reshape(books, words)
+        for _ in range(ROUNDS):
+            self._refit(x)
 
     def _refit(self, x: np.ndarray) -> None:
-        """All codewords at once by least squares for the codes of the sample, a little ridge for unused words."""
-        codes = self.encode(x)
-        books, words, dim = self.codebooks.shape
-        at = codes.astype(np.int64) + np.arange(books) * words
-        normal = np.zeros((books * words, books * words))
-        for i in range(books):
-            for j in range(books):
-                np.add.at(normal, (at[:, i], at[:, j]), 1)
-        right = np.zeros((books * words, dim))
-        for i in range(books):
-            np.add.at(right, at[:, i], x)
-        old = self.flat.astype(np.float64)
-        normal += np.eye(len(normal)) * 0.1
-        self.codebooks = np.linalg.solve(normal, right + 0.1 * old).astype(np.float32).reshape(books, words, dim)
-        self._prepare()
+        """Least squares of all codewords for the codes of the sample, by two sweeps of coordinate descent: a codeword moves by the mean of what is left of its vectors."""
+        codes = self.encode(x).astype(np.int64)
+        rest = x - self.decode(codes)
+        words = self.codebooks.shape[1]
+        for _ in range(2):
+            for m, book in enumerate(self.codebooks):
+                own = codes[:, m]
+                sums = np.stack([np.bincount(own, rest[:, d], words) for d in range(x.shape[1])], axis=1)
+                step = (sums / np.maximum(np.bincount(own, minlength=words), 1)[:, None]).astype(np.float32)
+                book += step
+                rest -= step[own]
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """Codes (n x books) by beam search over the codebooks in order."""
-        books, words, _ = self.codebooks.shape
+        books, words, dim = self.codebooks.shape
+        norms = (self.codebooks**2).sum(axis=2)
         out = np.zeros((len(x), books), np.uint8 if words <= 256 else np.uint16)
         for start in range(0, len(x), 512):
             part = x[start : start + 512].astype(np.float32)
-            inner = (part @ self.flat.T).reshape(len(part), books, words)
-            error = np.zeros((len(part), 1), np.float32)
+            rest, error = part[:, None, :], (part**2).sum(axis=1)[:, None]
             codes = np.zeros((len(part), 1, 0), np.int64)
-            for m in range(books):
-                cost = error[:, :, None] + (self.norms[m] - 2 * inner[:, m])[:, None, :]
-                for j in range(m):
-                    cost += 2 * self.gram[j, codes[:, :, j], m]
-                flat = cost.reshape(len(part), -1)
-                keep = min(beam, flat.shape[1])
-                best = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
-                error = np.take_along_axis(flat, best, axis=1)
-                codes = np.concatenate((np.take_along_axis(codes, (best // words)[:, :, None], axis=1), (best % words)[:, :, None]), axis=2)
+            for m, book in enumerate(self.codebooks):
+                inner = (rest.reshape(-1, dim) @ book.T).reshape(len(part), -1, words)
+                cost = (error[:, :, None] + norms[m] - 2 * inner).reshape(len(part), -1)
+                keep = min(beam, cost.shape[1])
+                best = np.argpartition(cost, keep - 1, axis=1)[:, :keep]
+                error = np.take_along_axis(cost, best, axis=1)
+                parent, word = best // words, best % words
+                codes = np.concatenate((np.take_along_axis(codes, parent[:, :, None], axis=1), word[:, :, None]), axis=2)
+                rest = np.take_along_axis(rest, parent[:, :, None], axis=1) - book[word]
             out[start : start + 512] = codes[np.arange(len(part)), error.argmin(axis=1)]
         return out
 
@@ -130,7 +124,7 @@ def _search(quantiser: AdditiveQuantiser, dim: int, k: int, rerank: int, measure
         out = []
         for start in range(0, len(own), 32):
             part = q[start : start + 32].astype(np.float32)
-            lookup = (part @ quantiser.flat.T).reshape(len(part), *quantiser.codebooks.shape[:2])
+            lookup = np.einsum("qd,mwd->qmw", part, quantiser.codebooks, optimize=True)
             rough = np.zeros((len(part), len(first)), np.float32)
             for m in range(lookup.shape[1]):
                 rough += lookup[:, m, codes[:, m]]
@@ -179,7 +173,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, measure:
     queries = queries.where(F.size("query") == dim).groupBy("query_id").agg(F.min("query").alias("query"))
     drawn = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
     quantiser = AdditiveQuantiser(_matrix(drawn.column("embedding"), dim))
-    shared = spark.sparkContext.broadcast(quantiser)  # codebooks and their products: fixed in size
+    shared = spark.sparkContext.broadcast(quantiser)  # the codebooks alone: 16 x 256 vectors
 
     def encode(batches):
         for batch in batches:

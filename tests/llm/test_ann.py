@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,21 @@ def test_query_recall(spark):
     assert recall(found, x, ids, [i for i in ids if i % 20 == 0], 20, lambda v, q: v @ q) >= 0.9
 
 
+def test_recall_of_a_full_block():
+    """One block of production size, of vectors without any structure (the hardest ones), production parameters."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(ann.INDEX_BLOCK, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    aq = ann.AdditiveQuantiser(x[rng.permutation(len(x))[: ann.SAMPLE // 2]])
+    codes = aq.encode(x)
+    norms = (aq.decode(codes) ** 2).sum(axis=1).astype(np.float64)
+    ids, asked = np.arange(len(x)), np.arange(0, len(x), 160)
+    index = pa.table({"vec_id": ids, "embedding": pa.array(list(x)), "codes": [c.tobytes() for c in codes], "norm": norms})
+    queries = pa.table({"query_id": asked, "query": pa.array(list(x[asked]))})
+    found = ann._search(aq, 64, 20, ann.RERANK, "inner_product")(index, queries).to_pylist()
+    assert recall(found, x.astype(np.float64), ids.tolist(), asked.tolist(), 20, lambda v, q: v @ q) >= 0.9
+
+
 def test_ties_copies_and_bad_vectors(spark):
     good = [(i, [1.0, float(i % 3)], "x") for i in range(40, 0, -1)]
     bad = [(100, None, "x"), (101, [0.0, 0.0], "x"), (102, [float("nan"), 1.0], "x"), (103, [None, 1.0], "x"), (104, [float("inf"), 1.0], "x"), (105, [1.0], "x"), (106, [], "x"), (None, [1.0, 1.0], "x"), (7, [1.0, 1.0], "again")]
