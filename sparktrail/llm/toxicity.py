@@ -10,8 +10,9 @@ the whole text and of its most toxic window, and a logistic curve fitted on
 cross-fitted ratios turns that into a probability.
 
 Only the classifier is fitted on a sample: at most ``MAX_TOXIC`` and
-``MAX_ORDINARY`` labelled documents, drawn by a seeded hash of the id (whole
-texts).  Every document is scored over its whole text.
+``MAX_ORDINARY`` labelled documents of at most ``MAX_BYTES`` together in each
+class, drawn by a seeded hash of the id, with their whole texts.  Every
+document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, id_crc, table, text_bytes, tune
+from .common import LOWER, discard, id_crc, table, text_bytes, tune, written
 
 MAX_TOXIC, MAX_ORDINARY = 3000, 7500
+#: Bytes of text that a class gives to the sample; documents of its draw are taken whole, in the order of the hash, while they fit.
+MAX_BYTES = 48 << 20
 THRESHOLD = 0.7
 #: Absolute discount of bigram, continuation and stem counts: what was seen in this few contexts of a class is no evidence.
 DISCOUNT = 3.0
@@ -79,17 +82,16 @@ def _discounted(counts: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 class Ratio:
-    """Log-likelihood ratio of a bigram: from a table where the bigram itself was seen, else context part + word part."""
+    """Log-likelihood ratio of a bigram: context part + word part, and a table of the bigrams that a class saw more often than the discount takes away. Of all others nothing is left after the discount, so the two parts are their exact ratio."""
 
     def __init__(self, toxic: list, ordinary: list, size: int, stem_of: np.ndarray, stems: int):
         self.size, self.stem_of = size, stem_of
         models = KneserNey(toxic, size, stems), KneserNey(ordinary, size, stems)
         one, zero = models
-        keys = np.union1d(one.keys, zero.keys)
         # What both classes share: how stems are spread, and how a stem's known words are spread.
         pooled = one.contexts + zero.contexts
         shared = SHARED * pooled / max(1.0, pooled.sum()) + (1 - SHARED) / stems
-        words = np.bincount(keys % size, minlength=size) + 1.0
+        words = np.bincount(np.union1d(one.keys, zero.keys) % size, minlength=size) + 1.0
         within = words / np.bincount(stem_of, words, stems)[stem_of]
         unigrams, novel = [], []
         for m in models:
@@ -101,6 +103,7 @@ class Ratio:
         u1, u0 = unigrams
         b1, b0 = one.backoff(), zero.backoff()
         self.word, self.novel, self.context = np.log(u1 / u0), np.log(novel[0] / novel[1]), np.log(b1 / b0)
+        keys = np.union1d(*(m.keys[m.counts > DISCOUNT] for m in models))
         keys = keys[keys % size != 0]
         v, w = keys // size, keys % size
 
@@ -109,9 +112,8 @@ class Ratio:
             seen = np.where(model.keys[at] == keys, model.counts[at], 0) if len(model.keys) else np.zeros(len(keys))
             return np.maximum(seen - DISCOUNT, 0) / np.maximum(model.total[v], 1) + b[v] * u[w]
 
-        exact = np.log(p(one, b1, u1) / p(zero, b0, u0)) if len(keys) else np.zeros(0)
-        differs = np.abs(exact - self.context[v] - self.word[w]) > 0.05
-        self.keys, self.exact = keys[differs], exact[differs].astype(np.float32)
+        self.keys = keys
+        self.exact = (np.log(p(one, b1, u1) / p(zero, b0, u0)) if len(keys) else np.zeros(0)).astype(np.float32)
 
     def of(self, words: np.ndarray, stems: np.ndarray) -> np.ndarray:
         prev = np.concatenate(([self.size - 1], words[:-1]))
@@ -192,24 +194,41 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30))))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, seed: int = 5) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, seed: int = 5, max_bytes: int = MAX_BYTES) -> ToxicityModel:
     """Fit on labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
     Null labels and null ids teach nothing; an id with several labels counts
-    as its largest.  Texts are streamed to the driver, the counts alone stay.
-    Where a class is larger than its part of the sample, the intercept is
-    corrected to the odds of all labels.
+    as its largest, an id with several texts as the smallest of them.  The
+    driver holds the texts of the sample, ``max_bytes`` of a class at most (a
+    longer document is passed over, never cut).  Where a class is larger than
+    its part of the sample, the intercept is corrected to the odds of all
+    labels.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("mark"))
     marks = marks.where(id_crc("id") % 3 != 1).where("mark in (0, 1)")
     labelled = {r["mark"]: r["n"] for r in marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # what one drawn label stands for, in either class
-    stands = [labelled.get(y, 0) / max(1, min(labelled.get(y, 0), n)) for y, n in ((1, max_toxic), (0, max_ordinary))]
-    drawn = [marks.where(F.col("mark") == y).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n) for y, n in ((1, max_toxic), (0, max_ordinary))]
-    sample = drawn[0].unionAll(drawn[1])
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("id", "text", "mark")
-    found = sorted((r["id"], r["text"].encode(), r["mark"]) for r in rows.toLocalIterator())
-    return ToxicityModel([(t, y) for _, t, y in found], float(np.log(stands[0] / stands[1])) if all(stands) else 0.0)
+    limits = ((1, max_toxic), (0, max_ordinary))
+    drawn = [marks.where(F.col("mark") == y).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n) for y, n in limits]
+    sample = drawn[0].unionAll(drawn[1])  # of a fixed number of rows
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
+    texts = written(texts.groupBy("id", "mark").agg(F.min("text").alias("text")), "toxicity-sample")
+    sizes = texts.select("id", "mark", F.octet_length("text").alias("n"), F.xxhash64(F.lit(seed), "id").alias("place")).collect()
+    picked, found = set(), {0: 0, 1: 0}
+    room = {0: max_bytes, 1: max_bytes}
+    for r in sorted(sizes, key=lambda r: (r["place"], r["id"])):
+        found[r["mark"]] += 1
+        if r["n"] <= room[r["mark"]]:
+            room[r["mark"]] -= r["n"]
+            picked.add(r["id"])
+    rows = texts.where(F.octet_length("text") <= max_bytes).toLocalIterator()
+    rows = sorted((r["id"], r["text"].encode(), r["mark"]) for r in rows if r["id"] in picked)
+    discard(texts)
+    # what one document of the sample stands for, in either class: labels by those drawn, times documents found by those picked
+    stands = []
+    for y, most in limits:
+        taken = sum(mark == y for _, _, mark in rows)
+        stands.append(labelled.get(y, 0) / max(1, min(labelled.get(y, 0), most)) * (found[y] / taken if taken else 1))
+    return ToxicityModel([(t, y) for _, t, y in rows], float(np.log(stands[0] / stands[1])) if all(stands) else 0.0)
 
 
 def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:

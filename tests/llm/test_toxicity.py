@@ -35,12 +35,100 @@ def test_held_out_accuracy(spark):
     assert kept.columns == docs.columns and 0.7 * len(rows) < kept.count() < 0.8 * len(rows)
 
 
-def test_ratio_is_a_ratio_of_distributions():
+class Plain:
+    """Interpolated Kneser-Ney by its definition, with dictionaries, one probability at a time."""
+
+    def __init__(self, texts, vocabulary, stem_of, stems):
+        self.bigrams, self.after, self.contexts = {}, {}, {}
+        self.stem_of, self.stems = stem_of, stems
+        trigrams, pairs, stem_pairs = set(), set(), set()
+        for words, parts in texts:
+            for i, w in enumerate(words):
+                u = words[i - 2] if i > 1 else "<s>"
+                v = words[i - 1] if i else "<s>"
+                trigrams.add((u, v, w))
+                pairs.add((v, w))
+                stem_pairs.add((parts[i - 1] if i else 0, parts[i]))
+        for _, v, w in trigrams:
+            self.bigrams[v, w] = self.bigrams.get((v, w), 0) + 1
+        for _, w in pairs:
+            self.after[w] = self.after.get(w, 0) + 1
+        for _, s in stem_pairs:
+            self.contexts[s] = self.contexts.get(s, 0) + 1
+
+    def p(self, v, w, stem, share, shared):
+        def level(counts, key, lower):
+            total = sum(counts.values())
+            left = 1 - sum(max(n - t.DISCOUNT, 0) for n in counts.values()) / max(1, total)
+            return max(counts.get(key, 0) - t.DISCOUNT, 0) / max(1, total), left * lower
+
+        of_stem = sum(level(self.contexts, stem, shared))
+        kept, below = level(self.after, w, of_stem * share)
+        if w is None:  # a word outside the vocabulary: what the known ones leave, spread by stems
+            unigram = below
+        else:
+            unigram = kept + below
+        here = {b: n for (a, b), n in self.bigrams.items() if a == v}
+        total = sum(here.values())
+        backoff = sum(min(n, t.DISCOUNT) for n in here.values()) / total if total else 1.0
+        seen = max(here.get(w, 0) - t.DISCOUNT, 0) / total if total and w is not None else 0.0
+        return seen + backoff * unigram
+
+
+def test_ratio_against_the_definition():
+    """Every bigram's log ratio is that of two Kneser-Ney models computed by definition: kept bigrams, those the discount empties, unknown words."""
     rng = np.random.default_rng(1)
-    make = lambda: (lambda w: (w, np.where(w > 0, w, 0)))(rng.integers(1, 9, 50))
-    stem_of = np.array([*range(9), 0])
-    ratio = t.Ratio([make() for _ in range(20)], [make() for _ in range(20)], 10, stem_of, 9)
-    assert np.isfinite(ratio.word).all() and np.isfinite(ratio.exact).all() and np.isfinite(ratio.novel).all()
+    size, stems = 12, 5  # words 1..10, 11 is the start
+    stem_of = np.array([0, *[1 + i % 4 for i in range(10)], 0])
+
+    def make(skew):
+        out = []
+        for _ in range(60):
+            words = rng.zipf(skew, 30) % 11
+            out.append((words, np.where(words > 0, stem_of[words], rng.integers(0, stems, 30))))
+        return out
+
+    toxic, ordinary = make(1.3), make(2.0)
+    ratio = t.Ratio(toxic, ordinary, size, stem_of, stems)
+    assert 0 < len(ratio.keys) < 11 * 11
+    name = lambda w: int(w) if w else None
+    plain = [Plain([([name(w) for w in words], parts.tolist()) for words, parts in texts], range(1, 11), stem_of, stems) for texts in (toxic, ordinary)]
+    pooled = [sum(m.contexts.get(s, 0) for m in plain) for s in range(stems)]
+    shared = [t.SHARED * n / sum(pooled) + (1 - t.SHARED) / stems for n in pooled]
+    kinds = {b for m in plain for b in m.bigrams}
+    weight = {w: 1 + sum(b == w for _, b in kinds) for w in [None, *range(1, 11), "<s>"]}
+    of = {w: 0 if w in (None, "<s>") else int(stem_of[w]) for w in weight}
+    for v in ["<s>", None, *range(1, 11)]:
+        for w in [None, *range(1, 11)]:
+            stem = 3 if w is None else of[w]
+            share = 1.0 if w is None else weight[w] / sum(n for k, n in weight.items() if of[k] == stem)
+            want = np.log(plain[0].p(v, w, stem, share, shared[stem]) / plain[1].p(v, w, stem, share, shared[stem]))
+            if v == "<s>":
+                got = ratio.of(np.array([w or 0]), np.array([stem]))[0]
+            else:
+                got = ratio.of(np.array([v or 0, w or 0]), np.array([0 if v is None else of[v], stem]))[1]
+            assert got == pytest.approx(want, abs=1e-5), (v, w)
+
+
+def test_score_is_the_logistic_curve_of_the_ratios():
+    model = t.ToxicityModel([(x.encode(), y) for _, x, y in corpus()])
+    for text in (b"w1 w2 w3 w1", b"nasty3 w1 nasty4", b"w9"):
+        r = model.ratio.of(*model.ids(text)).tolist()
+        pairs = [a + b for a, b in zip(r, r[1:], strict=False)] or r
+        x = (np.array([sum(r) / len(r), max(pairs) / 2, np.log(1 + len(r))]) - model.shift) / model.scale
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-(model.weights[0] + (x * model.weights[1:]).sum()))), abs=1e-12)
+
+
+def test_sample_bounded_by_bytes_and_repeated_ids(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows] + [(0, "zz " * 50_000), (3, None)] + [(4, f"zz{i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    whole, bounded = t.train(docs, labels), t.train(docs, labels, max_bytes=20_000)
+    # id 0 counts by the smaller of its texts, and no text is cut; the repeated id is one document
+    assert b"zz" not in whole.vocabulary and 0 < len(bounded.vocabulary) <= len(whole.vocabulary)
+    assert b"zz0" not in whole.vocabulary
+    share = lambda m: np.mean([m.score(x.encode()) for _, x, _ in rows])
+    assert abs(share(whole) - share(bounded)) < 0.08
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 0)], [(1, 1), (2, None)]])
