@@ -6,8 +6,9 @@ differ by one at most.
 1. Each input partition is a block.  How many of a block's rows go to each
    shard is drawn from the exact law of a uniform shuffle: one row of the
    matrix is a multivariate hypergeometric draw from the room that is left
-   in the shards.  Only this small matrix (4,096 blocks at most) is drawn on
-   the driver; it holds counts, never rows.
+   in the shards.  Only this matrix is drawn on the driver and broadcast; it
+   holds counts, never rows, and at most ``MAX_CELLS`` of them (8 MB): beyond
+   65,536 partitions for 16 shards, several partitions make a block.
 2. Permute locally: a block's rows are ranked by a seeded hash and the
    ranks are cut at the matrix's running sums.
 3. Exchange, and permute again: inside a shard the rows are ordered by a
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import numbered, table, written
 
-MAX_BLOCKS = 4096
+#: Counts in the matrix. 16 shards of 25 billion rows have blocks of some 400,000 rows, sorted by place and hash alone.
+MAX_CELLS = 1 << 20
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
@@ -84,12 +86,12 @@ def shuffle_into_shards(rows: DataFrame, shards: int = 16, seed: int = 20240917)
     base = written(
         rows.select(
             F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
-            F.pmod(F.spark_partition_id(), F.lit(MAX_BLOCKS)).alias("block"),
+            F.pmod(F.spark_partition_id(), F.lit(max(1, MAX_CELLS // shards))).alias("block"),
             F.monotonically_increasing_id().alias("pos"),
         ),
         "shuffle",
     )
-    sizes = sorted((r["block"], r["n"]) for r in base.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect())  # MAX_BLOCKS rows at most
+    sizes = sorted((r["block"], r["n"]) for r in base.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect())  # MAX_CELLS / shards rows at most
     total = sum(n for _, n in sizes)
     ends = communication_matrix([n for _, n in sizes], shards, seed).cumsum(axis=1)
     plan = spark.createDataFrame([(b, e.tolist()) for (b, _), e in zip(sizes, ends, strict=True)], "block int, ends array<long>")

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparktrail.llm import sharding
@@ -15,7 +16,7 @@ def test_matrix_margins():
 
 
 def test_matrix_law():
-    # the rows of the first block in the first shard: hypergeometric with mean 5 and variance 50/19
+    # the rows of the first block in the first shard: hypergeometric with mean 5 and variance 25/19
     draws = np.array([sharding.communication_matrix([10, 10], 2, s)[0, 0] for s in range(4000)])
     assert abs(draws.mean() - 5) < 0.1 and abs(draws.var() - 25 / 19) < 0.12
 
@@ -26,7 +27,9 @@ def test_large_urns():
     assert abs(np.mean(small) - 300) < 2 and abs(np.std(small) - 14.5) < 1.5
 
 
-def test_shuffle(spark):
+@pytest.mark.parametrize("cells", [1 << 20, 32])
+def test_shuffle(spark, monkeypatch, cells):
+    monkeypatch.setattr(sharding, "MAX_CELLS", cells)  # 32: six partitions in two blocks
     rows = spark.range(5000, numPartitions=6).select((F.col("id") % 1700).alias("doc_id"), F.lit("x").alias("shard"), F.lit(3).alias("rank"), F.lit(None).cast("string").alias("text"))
     out = sharding.shuffle_into_shards(rows, 16)
     found = out.collect()
