@@ -11,13 +11,15 @@ cross-fitted ratios turns that into a probability.
 
 Only the classifier is fitted on a sample: at most ``MAX_TOXIC`` and
 ``MAX_ORDINARY`` labelled documents of at most ``MAX_BYTES`` together in each
-class, drawn by a seeded hash of the id, with their whole texts.  Every
-document is scored over its whole text.
+class, drawn by a seeded hash of the id, with their whole texts.  One task on
+an executor holds that sample and fits; the driver gets the model alone.
+Every document is scored over its whole text.
 """
 
 from __future__ import annotations
 
 import itertools
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -37,6 +39,8 @@ SHARED = 0.05  # weight of the pooled counts in the shared distribution; the res
 MIN_COUNT = 5  # rarer words are known by their stem alone
 STEM = 4  # bytes
 WINDOW = 2
+#: Bytes of the fitted model in a row that goes to the driver.
+MODEL_PART = 4 << 20
 
 #: Letters, digits and bytes above 127 make words here; punctuation parts them.
 _PARTS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -198,11 +202,11 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_or
     """Fit on labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
     Null labels and null ids teach nothing; an id with several labels counts
-    as its largest, an id with several texts as the smallest of them.  The
-    driver holds the texts of the sample, ``max_bytes`` of a class at most (a
-    longer document is passed over, never cut).  Where a class is larger than
-    its part of the sample, the intercept is corrected to the odds of all
-    labels.
+    as its largest, an id with several texts as the smallest of them.  A task
+    holds the texts of the sample, ``max_bytes`` of a class at most (a longer
+    document is passed over, never cut); the driver holds their ids and sizes
+    and then the model.  Where a class is larger than its part of the sample,
+    the intercept is corrected to the odds of all labels.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("mark"))
     marks = marks.where(id_crc("id") % 3 != 1).where("mark in (0, 1)")
@@ -213,22 +217,35 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_or
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
     texts = written(texts.groupBy("id", "mark").agg(F.min("text").alias("text")), "toxicity-sample")
     sizes = texts.select("id", "mark", F.octet_length("text").alias("n"), F.xxhash64(F.lit(seed), "id").alias("place")).collect()
-    picked, found = set(), {0: 0, 1: 0}
+    picked, found, taken = set(), {0: 0, 1: 0}, {0: 0, 1: 0}
     room = {0: max_bytes, 1: max_bytes}
     for r in sorted(sizes, key=lambda r: (r["place"], r["id"])):
         found[r["mark"]] += 1
         if r["n"] <= room[r["mark"]]:
             room[r["mark"]] -= r["n"]
+            taken[r["mark"]] += 1
             picked.add(r["id"])
-    rows = texts.where(F.octet_length("text") <= max_bytes).toLocalIterator()
-    rows = sorted((r["id"], r["text"].encode(), r["mark"]) for r in rows if r["id"] in picked)
-    discard(texts)
     # what one document of the sample stands for, in either class: labels by those drawn, times documents found by those picked
-    stands = []
-    for y, most in limits:
-        taken = sum(mark == y for _, _, mark in rows)
-        stands.append(labelled.get(y, 0) / max(1, min(labelled.get(y, 0), most)) * (found[y] / taken if taken else 1))
-    return ToxicityModel([(t, y) for _, t, y in rows], float(np.log(stands[0] / stands[1])) if all(stands) else 0.0)
+    stands = [labelled.get(y, 0) / max(1, min(labelled.get(y, 0), most)) * (found[y] / taken[y] if taken[y] else 1) for y, most in limits]
+    model = _fitted(texts.where(F.octet_length("text") <= max_bytes), picked, float(np.log(stands[0] / stands[1])) if all(stands) else 0.0)
+    discard(texts)
+    return model
+
+
+def _fitted(texts: DataFrame, picked: set, log_odds: float) -> ToxicityModel:
+    """The model of the rows (id, mark, text) whose id was ``picked``, fitted in one task; the texts never reach the driver."""
+    tune(texts.sparkSession)
+
+    def fit(batches):
+        rows = []
+        for b in batches:
+            rows += [r for r in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2).to_pylist(), strict=True) if r[0] in picked]
+        model = pickle.dumps(ToxicityModel([(t, y) for _, t, y in sorted(rows)], log_odds))
+        for at in range(0, len(model), MODEL_PART):
+            yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int64()), "part": pa.array([model[at : at + MODEL_PART]], pa.binary())})
+
+    parts = sorted(texts.select("id", "text", "mark").coalesce(1).mapInArrow(fit, "at long, part binary").collect())
+    return pickle.loads(b"".join(bytes(r["part"]) for r in parts)) if parts else ToxicityModel([], log_odds)
 
 
 def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:

@@ -144,6 +144,25 @@ def test_empty_table(spark):
     assert t.drop_toxic(docs, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
 
 
+def test_the_driver_gets_the_model_alone(spark, monkeypatch):
+    """The sample's texts and counts are held by a task: the driver neither fits nor reads a text, and the model is that of a fit beside it."""
+    rows = corpus()
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    want = t.ToxicityModel([(x.encode(), y) for i, x, y in rows if zlib.crc32(str(i).encode()) % 3 != 1])
+
+    def never(*_, **__):
+        raise AssertionError("on the driver")
+
+    monkeypatch.setattr(t.ToxicityModel, "__init__", never)
+    monkeypatch.setattr(type(docs), "toLocalIterator", never)
+    monkeypatch.setattr(t, "MODEL_PART", 1000)  # in several rows
+    model = t.train(docs, labels)
+    assert model.vocabulary == want.vocabulary and len(model.ratio.keys)
+    for _, x, _ in rows[:50]:
+        assert model.score(x.encode()) == pytest.approx(want.score(x.encode()), abs=1e-12)
+
+
 def test_edge_texts():
     model = t.ToxicityModel([(x.encode(), y) for _, x, y in corpus()])
     for text in (b"", b"nasty3", b"w1 " * 20000, "é  ñ".encode(), b"..."):
