@@ -212,6 +212,22 @@ def test_attached_scalar_lineage_of_all_output_rows(spark, duck):
     assert bag(found.select("out_c_custkey").distinct()) == bag(result, ["c_custkey"]) and result.count() > 1
 
 
+def test_attached_scalar_lineage_is_spread_over_tasks(spark, tmp_path):
+    """Whatever files the table has, outputs x inner rows are made by all tasks; equal ids and ids without a value stay a bag."""
+    one_file = spark.createDataFrame([(i if i % 7 else None, i % 10) for i in range(400)] + [(1, 1), (1, 9)], "k int, v int").coalesce(1)
+    one_file.write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    plan = scan("o", t, ["k"]).scalar(scan("i", t, ["k"], "i_").filter("i_v > 3"), (), mean="avg(i_v)").filter("v > mean")
+    found = backtrace(capture(plan), "i", ["k"], factored=False)
+    rows = [tuple(r) for r in t.collect()]
+    inner = [k for k, v in rows if v > 3]
+    mean = sum(v for _, v in rows if v > 3) / len(inner)
+    assert bag(found, ["out_k", "i_k"]) == Counter((o, i) for o, v in rows if v > mean for i in inner)
+    busy = found.groupBy(F.spark_partition_id()).count().count()
+    assert t.rdd.getNumPartitions() == 1 and busy == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert backtrace(capture(plan.filter("k < 0")), "i", ["k"], factored=False).count() == 0
+
+
 SQL_TEXTS = [
     "SELECT k FROM (SELECT k, v, sum(k) OVER (PARTITION BY g) s FROM t) x WHERE EXISTS (SELECT 1 FROM u WHERE u.w > x.v)",
     "SELECT k FROM (SELECT k, v, sum(k) OVER () s FROM t) x WHERE EXISTS (SELECT 1 FROM u WHERE u.w > x.v)",
