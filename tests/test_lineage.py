@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparktrail import catalogue
 from sparktrail.functions import polynomials, sketches, statistics
 from sparktrail.operators import backtrace, cached, capture, differences, graph_json, layers_of, lineage, load, release, replay, save
+from sparktrail.operators.backtrace import ARRAY, _in_arrays
 from sparktrail.plans import micro, scan, tpch
 from sparktrail.plans.sql import Catalog, Unsupported
 from sparktrail.sources import tables
@@ -228,6 +229,22 @@ def test_attached_scalar_lineage_is_spread_over_tasks(spark, tmp_path):
     assert backtrace(capture(plan.filter("k < 0")), "i", ["k"], factored=False).count() == 0
 
 
+def test_attached_scalar_lineage_is_bounded_in_a_task(spark):
+    """No generated loop holds an array once for every output row (a broadcast join does), and no array grows with repeated ids."""
+    t = spark.createDataFrame([(i if i % 7 else None, i % 10) for i in range(300)] + [(5, 9)] * 1_000, "k int, v int")
+    plan = scan("o", t, ["k"]).scalar(scan("i", t, ["k"], "i_").filter("i_v > 3"), (), mean="avg(i_v)").filter("v > mean AND k % 50 = 5")
+    found = backtrace(capture(plan), "i", ["k"], factored=False)
+    made = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in made and "Coalesce " not in made
+    rows = [tuple(r) for r in t.collect()]
+    inner = Counter(k for k, v in rows if v > 3)
+    outer = Counter(k for k, v in rows if k is not None and k % 50 == 5 and v > 8)
+    counted = found.groupBy("out_k", "i_k").count().collect()
+    assert {(r["out_k"], r["i_k"]): r["count"] for r in counted} == {(o, i): n * m for o, n in outer.items() for i, m in inner.items()} and outer[5] > 900
+    arrays = [r["n"] for r in _in_arrays(t.select("k"), 2).select(F.size("_ids").alias("n")).collect()]
+    assert sum(arrays) == len(rows) and max(arrays) == ARRAY
+
+
 SQL_TEXTS = [
     "SELECT k FROM (SELECT k, v, sum(k) OVER (PARTITION BY g) s FROM t) x WHERE EXISTS (SELECT 1 FROM u WHERE u.w > x.v)",
     "SELECT k FROM (SELECT k, v, sum(k) OVER () s FROM t) x WHERE EXISTS (SELECT 1 FROM u WHERE u.w > x.v)",
